@@ -4,7 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat_format import encode_turns, read_back
 from .exact_dedup import exact_dedup
+from .license_scan import NOTICES, PHRASES, license_scan
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    planted = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return read_back(encode_turns(turns.unionByName(planted)))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,10 +25,59 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_license_scan": op3_license_scan,
+    "op8_chat_format": op8_chat_format,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
+_templates = ", ".join(f"({k}, '{label}', {exact}, string_split('{text}', ' '))" for k, (label, text, exact) in enumerate([*((*x, True) for x in PHRASES), *((*x, False) for x in NOTICES)]))
+
 SQL = {
+    "op3_license_scan": rf"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM documents
+        ), t(template, label, exact, tw) AS (VALUES {_templates}),
+        spots AS (SELECT template, exact, len(tw) AS size, i AS t_pos, tw[i + 1:i + 3] AS gram FROM t, unnest(range(len(tw) - 2)) u(i)),
+        grams AS (SELECT doc_id, i AS pos, w[i + 1:i + 3] AS gram FROM d, unnest(range(len(w) - 2)) u(i)),
+        votes AS (
+            SELECT doc_id, template, exact, size, pos - t_pos AS diagonal, count(*) AS votes
+            FROM grams JOIN spots USING (gram) GROUP BY ALL
+        ), numbered AS (
+            SELECT *, sum(gap) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS cluster
+            FROM (SELECT *, CASE WHEN exact THEN 1 WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= 2 THEN 0 ELSE 1 END AS gap FROM votes)
+        ), clusters AS (
+            SELECT doc_id, template, exact, size, cluster, list(diagonal ORDER BY diagonal) AS diagonals, sum(votes) AS votes
+            FROM numbered GROUP BY doc_id, template, exact, size, cluster
+        ), checked AS (
+            SELECT c.doc_id, t.label, t.exact, c.diagonals[1] AS start,
+                   len(list_filter(range(len(tw)), lambda i: len(list_filter(diagonals, lambda d: i + d >= 0 AND i + d < len(w) AND w[i + d + 1] = tw[i + 1])) > 0)) / CAST(len(tw) AS DOUBLE) AS cover
+            FROM clusters c JOIN d USING (doc_id) JOIN t USING (template)
+            WHERE c.votes >= CASE WHEN c.exact THEN size - 2 ELSE greatest(1, ceil(size - 2 - 3 * (1 - 0.8) * size)) END
+        ), verified AS (SELECT * FROM checked WHERE cover >= CASE WHEN exact THEN 1 ELSE 0.8 END),
+        marks AS (
+            SELECT doc_id, count(*) FILTER (exact) AS n_base, min(start) FILTER (exact) AS first_word, max(start) FILTER (exact) AS last_word,
+                   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(cover) AS score
+            FROM verified GROUP BY doc_id
+        )
+        SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+               coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+        FROM d LEFT JOIN marks USING (doc_id)""",
+    "op8_chat_format": r"""
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+        ), e AS (
+            SELECT *, 19 + length(regexp_replace(role, '(\\*)(<turn>|<text>|</turn>|### Assistant:|### User:|### System:)', '\\\1\2', 'g'))
+                   + length(regexp_replace(text, '(\\*)(<turn>|<text>|</turn>|### Assistant:|### User:|### System:)', '\\\1\2', 'g')) AS chars
+            FROM c
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(chars) AS BIGINT) AS formatted_chars
+        FROM e GROUP BY conv_id""",
     "op10_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
