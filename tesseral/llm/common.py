@@ -62,3 +62,16 @@ def skew_safe_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: st
     on = reduce(lambda a, b: a & b, [F.col(f"r.{k}").eqNullSafe(F.col(f"g.{k}")) for k in keys])
     cold = rest.alias("r").join(groups.alias("g"), on, "inner").select("r.*", *[f"g.{c}" for c in added])
     return met.select(*out).unionByName(cold.select(*out))
+
+
+#: A filter has at most this power of two of bits, which are 2^19 words of 64 to broadcast.
+MAX_FILTER_BITS = 25
+
+
+def maybe_in(rows: DataFrame, h: Column, keys: DataFrame, key_h: Column, bits: int = MAX_FILTER_BITS) -> DataFrame:
+    """The rows whose 64-bit hash ``h`` may be one of ``keys``: a Bloom filter with one hash, bounded and broadcast."""
+    slot = lambda x: F.pmod(x, F.lit(1 << bits))
+    bit = F.expr("shiftleft(1L, cast(_slot & 63 as int))")
+    words = keys.select(slot(key_h).alias("_slot")).groupBy(F.shiftright("_slot", 6).alias("_word")).agg(F.bit_or(bit).alias("_mask"))
+    met = rows.withColumn("_slot", slot(h)).withColumn("_word", F.shiftright("_slot", 6)).join(F.broadcast(words), "_word")
+    return met.where(F.col("_mask").bitwiseAND(bit) != 0).select(*rows.columns)

@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .chat_format import encode_turns, read_back
 from .exact_dedup import exact_dedup
+from .line_dedup import line_dedup
 from .license_scan import NOTICES, PHRASES, license_scan
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -25,6 +32,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op3_license_scan": op3_license_scan,
     "op8_chat_format": op8_chat_format,
     "op10_exact_dedup": op10_exact_dedup,
@@ -33,6 +41,23 @@ QUERIES = {
 _templates = ", ".join(f"({k}, '{label}', {exact}, string_split('{text}', ' '))" for k, (label, text, exact) in enumerate([*((*x, True) for x in PHRASES), *((*x, False) for x in NOTICES)]))
 
 SQL = {
+    "op1_line_dedup": """
+        WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents WHERE text <> ''),
+        h AS (SELECT *, list_transform(lines, lambda x: CAST('0x' || substr(md5(x), 1, 7) AS BIGINT)) AS hashes FROM l),
+        e AS (
+            SELECT *, list_filter(range(1, len(lines) + 1), lambda i: i = len(lines) OR (i > 1 AND (31 * hashes[i - 1] + hashes[i]) % 3 = 0)) AS ends FROM h
+        ), c AS (
+            SELECT doc_id, lines, k, CASE WHEN k = 1 THEN 1 ELSE ends[k - 1] + 1 END AS pos, ends[k] AS last
+            FROM e, unnest(range(1, len(ends) + 1)) u(k)
+        ), b AS (SELECT doc_id, pos, last - pos + 1 AS n, array_to_string(lines[pos:last], chr(10)) AS body FROM c),
+        f AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, pos) > 1 AND n >= 2 AS gone FROM b),
+        k AS (
+            SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, CAST(coalesce(sum(n) FILTER (gone), 0) AS BIGINT) AS n_removed,
+                   coalesce(string_agg(body, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept
+            FROM f GROUP BY doc_id
+        )
+        SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM documents LEFT JOIN k USING (doc_id)""",
     "op3_license_scan": rf"""
         WITH d AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
