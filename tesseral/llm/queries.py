@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat_format import encode_turns, read_back
+from .decontaminate import contained
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
+from .language_id import identify
 from .license_scan import NOTICES, PHRASES, license_scan
 
 
@@ -16,6 +18,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -27,14 +33,20 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(encode_turns(turns.unionByName(planted)))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_language_id": op2_language_id,
     "op3_license_scan": op3_license_scan,
     "op8_chat_format": op8_chat_format,
+    "op9_decontaminate": op9_decontaminate,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
@@ -103,6 +115,15 @@ SQL = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(chars) AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id""",
+    "op9_decontaminate": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        i AS (SELECT DISTINCT item_id, least(len(w), 5) AS n, w[k:k + least(len(w), 5) - 1] AS gram FROM b, unnest(range(1, len(w) - least(len(w), 5) + 2)) u(k) WHERE len(w) > 0),
+        q AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY item_id),
+        g AS (SELECT DISTINCT doc_id, n, w[k:k + n - 1] AS gram FROM d, (SELECT DISTINCT n FROM i) s, unnest(range(1, len(w) - n + 2)) u(k)),
+        m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM g JOIN i USING (n, gram) GROUP BY doc_id, item_id)
+        SELECT doc_id, item_id, n_shared, n_item, n_shared / CAST(n_item AS DOUBLE) AS containment
+        FROM m JOIN q USING (item_id) WHERE 10 * n_shared >= 8 * n_item""",
     "op10_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
