@@ -10,6 +10,7 @@ from .decontaminate import contained
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .language_id import identify
+from .near_dedup import near_dedup
 from .license_scan import NOTICES, PHRASES, license_scan
 
 
@@ -26,6 +27,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
@@ -45,6 +50,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
     "op3_license_scan": op3_license_scan,
+    "op4_near_dedup": op4_near_dedup,
     "op8_chat_format": op8_chat_format,
     "op9_decontaminate": op9_decontaminate,
     "op10_exact_dedup": op10_exact_dedup,
