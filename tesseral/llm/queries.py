@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .language_id import identify
 from .near_dedup import near_dedup
+from .suffix_dedup import suffix_dedup
 from .license_scan import NOTICES, PHRASES, license_scan
 
 
@@ -31,6 +32,11 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return kept.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
@@ -51,6 +57,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_license_scan": op3_license_scan,
     "op4_near_dedup": op4_near_dedup,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op8_chat_format": op8_chat_format,
     "op9_decontaminate": op9_decontaminate,
     "op10_exact_dedup": op10_exact_dedup,
