@@ -11,7 +11,9 @@ from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .language_id import identify
 from .near_dedup import near_dedup
+from .sentencepiece_codec import decode, encode
 from .suffix_dedup import suffix_dedup
+from .url_filter import url_filter
 from .license_scan import NOTICES, PHRASES, license_scan
 
 
@@ -32,11 +34,42 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.sha2("text", 256).alias("text_sha256"))
+    back = decode(encode(docs))
+    return back.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), F.sha2("decoded", 256).eqNullSafe(F.col("text_sha256")).alias("round_trip"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return kept.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: A log of list events. The pages carry no fetch time; a page counts as fetched on day 37 * page_id mod 366 of 2024.
+LIST_EVENTS = [
+    ("gambling", "casino-win.example.com", "2023-11-05", True),
+    ("gambling", "casino-win.example.com", "2024-04-01", False),
+    ("gambling", "casino-win.example.com", "2024-07-15", True),
+    ("gambling", "free-bets.example.com", "2024-03-10", True),
+    ("gambling", "free-bets.example.com", "2024-03-20", False),
+    ("gambling", "free-bets.example.com", "2024-03-25", True),
+    ("spam", "tionsh.example.com", "2024-02-01", True),
+    ("spam", "tionsh.example.com", "2024-09-01", False),
+    ("spam", "blog.tionsh.example.com", "2024-08-01", True),
+    ("spam", "tiontion.example.net", "2024-01-01", True),
+    ("spam", "tiontion.example.net", "2024-01-02", False),
+    ("trial", "example.org", "2024-06-01", True),
+    ("trial", "example.org", "2024-06-08", False),
+]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.createDataFrame(LIST_EVENTS, "list string, pattern string, day string, listed boolean")
+    fetched = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 37 % 366).cast("int"))
+    captures = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", fetched.alias("fetched"))
+    return url_filter(captures, events).select("page_id", F.col("fetched").cast("string").alias("fetched"), "host", "lists", "n_entries", "blocked")
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
@@ -57,12 +90,15 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_license_scan": op3_license_scan,
     "op4_near_dedup": op4_near_dedup,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_url_filter": op7_url_filter,
     "op8_chat_format": op8_chat_format,
     "op9_decontaminate": op9_decontaminate,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
+_events = ", ".join(f"('{a}', '{b}', DATE '{c}', {d})" for a, b, c, d in LIST_EVENTS)
 _templates = ", ".join(f"({k}, '{label}', {exact}, string_split('{text}', ' '))" for k, (label, text, exact) in enumerate([*((*x, True) for x in PHRASES), *((*x, False) for x in NOTICES)]))
 
 SQL = {
@@ -113,6 +149,20 @@ SQL = {
         SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
                coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
         FROM d LEFT JOIN marks USING (doc_id)""",
+    "op7_url_filter": rf"""
+        WITH e(list, pattern, day, listed) AS (VALUES {_events}),
+        v AS (SELECT list, pattern, day AS since, listed, lead(day, 1, DATE '9999-12-31') OVER (PARTITION BY list, pattern ORDER BY day) AS until FROM e),
+        c AS (
+            SELECT page_id, DATE '2024-01-01' + CAST(page_id * 37 % 366 AS INTEGER) AS day,
+                   nullif(rtrim(lower(regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '.'), '') AS host
+            FROM pages
+        ), m AS (
+            SELECT page_id, string_agg(DISTINCT list, ',' ORDER BY list) AS lists, count(*) AS n
+            FROM c JOIN v ON (host = pattern OR ends_with(host, '.' || pattern)) AND listed AND since <= day AND day < until
+            GROUP BY page_id
+        )
+        SELECT page_id, strftime(day, '%Y-%m-%d') AS fetched, host, coalesce(lists, '') AS lists, coalesce(n, 0) AS n_entries, lists IS NOT NULL AS blocked
+        FROM c LEFT JOIN m USING (page_id)""",
     "op8_chat_format": r"""
         WITH c AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
