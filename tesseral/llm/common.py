@@ -9,9 +9,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: How many of the largest groups travel by broadcast in ``skew_safe_join``; any other key then has fewer than 1/1024 of the rows.
-HOT_GROUPS = 1024
-
 _written: list[str] = []
 
 
@@ -24,9 +21,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it back: a lost executor costs nothing that is upstream."""
+def cut(df: DataFrame, slim: bool = False) -> DataFrame:
+    """Writes ``df`` as Parquet to the shared folder and reads it back: a lost executor costs nothing that is upstream.
+
+    ``slim`` is for tables of ids, whose shuffle partitions are small: at most four tasks a core write them.
+    """
     spark = df.sparkSession
+    if slim:
+        df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
@@ -41,27 +43,16 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Equality of all keys under which nulls are equal."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
-def skew_safe_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
-    """Inner join of ``rows`` with one row per key in ``groups`` (both read several times: pass tables from ``cut``).
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of ``rows`` with one row per key in ``groups``; null keys are equal.
 
-    The 1024 groups with the largest ``size`` are broadcast, which bounds the broadcast whatever the input;
-    all others take the shuffle, where no key is left that has over 1/1024 of the rows.
+    Both sides are to be plain tables (``cut``) or narrow over such: then each is one shuffle that goes into the join and
+    nothing else, which is what lets Spark split a partition that a hot key has made large and read its group for each
+    part (adaptive skew join), or broadcast ``groups`` where they measure below Spark's own threshold.
     """
-    hot = F.broadcast(groups.orderBy(F.col(size).desc(), *keys).limit(HOT_GROUPS))
     added = [c for c in groups.columns if c not in keys]
-    out = [*rows.columns, *added]
-    h, r = hot.alias("h"), rows.alias("r")
-    on = reduce(lambda a, b: a & b, [F.col(f"r.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys])
-    met = r.join(h, on, "inner").select("r.*", *[f"h.{c}" for c in added])
-    rest = r.join(F.broadcast(hot.select(*keys)).alias("h"), on, "left_anti")
     on = reduce(lambda a, b: a & b, [F.col(f"r.{k}").eqNullSafe(F.col(f"g.{k}")) for k in keys])
-    cold = rest.alias("r").join(groups.alias("g"), on, "inner").select("r.*", *[f"g.{c}" for c in added])
-    return met.select(*out).unionByName(cold.select(*out))
+    return rows.alias("r").join(groups.alias("g"), on).select("r.*", *[f"g.{c}" for c in added])
 
 
 #: A filter has at most this power of two of bits, which are 2^19 words of 64 to broadcast.

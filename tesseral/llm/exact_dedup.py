@@ -16,7 +16,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, skew_safe_join
+from .common import cut, join_groups
 
 #: The filter has 16 slots a row, up to this power of two: 2^25 bits as 64-bit words are 2^19 rows to broadcast at most.
 #: Beyond two million rows more rows take the shuffle by chance; the result is the same.
@@ -47,4 +47,4 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max
     single = tested.where("not maybe").select("doc_id", "text_sha256", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     met = tested.where("maybe").select("doc_id", "text_sha256")
     groups = cut(met.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
-    return out(single).unionByName(out(skew_safe_join(met, groups, ["text_sha256"], "group_size")))
+    return out(single).unionByName(out(join_groups(met, groups, ["text_sha256"])))

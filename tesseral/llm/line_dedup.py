@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, maybe_in, skew_safe_join
+from .common import cut, join_groups, maybe_in
 
 #: One pair of neighbouring lines in DIVISOR ends a chunk.
 DIVISOR = 3
@@ -58,7 +58,7 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_
     each = each.select("doc_id", "text_h", F.col("c.pos").alias("pos"), F.md5("c.body").alias("hash"), F.col("c.body").alias("body"))
     places = cut(each.drop("body"))
     repeated = cut(places.groupBy("hash").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-    met = cut(skew_safe_join(places, repeated, ["hash"], "size").drop("size"))
+    met = cut(join_groups(places, repeated, ["hash"]).drop("size"))
 
     # equal bodies of a task meet in the partial aggregation before anything is shuffled; what a hash has left are its texts
     likely = maybe_in(each.select("hash", "body"), F.xxhash64("hash"), repeated, F.xxhash64("hash"))
@@ -66,7 +66,7 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_
     bodies = texts.where("texts = 1 and n > 1").select("hash")
     first = met.groupBy("hash").agg(F.min(F.struct("doc_id", "text_h", "pos")).alias("first"), F.count(F.lit(1)).alias("size"))
     groups = cut(first.join(bodies, "hash"))
-    again = skew_safe_join(met, groups, ["hash"], "size").where(~F.struct("doc_id", "text_h", "pos").eqNullSafe(F.col("first")))
+    again = join_groups(met, groups, ["hash"]).where(~F.struct("doc_id", "text_h", "pos").eqNullSafe(F.col("first")))
     drops = again.groupBy("doc_id", "text_h").agg(F.collect_set("pos").alias("drops"))
 
     n_lines, n_removed, h, d = _names(docs, "n_lines", "n_removed", "text_h", "drops")

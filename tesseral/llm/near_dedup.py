@@ -4,12 +4,14 @@ Each permutation of a document's shingle hashes gives two signature values, its
 permutations do. Bands of the signature, together with the size class of the set (linked sets differ in size by the
 asked similarity at most, so they share a class or lie in neighbours), are the buckets in which links are looked for.
 
-Equal sets are one representative first. Then buckets are searched by pivots instead of by pairs: the most central member
-of a bucket is held against all others; what it links is one component, and only buckets in which members of different
-components are left are searched again, with four times as many pivots, each pivot leaving its bucket when it has been held
-against all, until no bucket is open. So every pair that shares a bucket is either tested or already connected. Tests are
-exact: both texts' full shingle sets. Hot buckets and pivots are broadcast by id or salted; texts are joined to at most
-SALT members of a pivot at a time.
+Equal sets are one representative first. Then each bucket is searched by pivots instead of by pairs: its most central
+member is held against all others, and what it links is one component. The pivot that a member met most often is its home;
+in homes with members of several components, blocks of members are held against each other by products of matrices of
+shingles. Buckets in which members of different components and homes are left are searched again with more pivots, each
+pivot leaving its bucket when it has been held against all, until no bucket is open. So every pair that shares a bucket is
+tested or connected already, and tests are exact: both texts' full shingle sets. Pairs that fail are never rows, except
+against pivots. Joins on hot buckets are joins of plain tables, which Spark splits; the members of a hot pivot are salted,
+and its text meets SALT of them at a time.
 
 With ROWS rows in BANDS bands a pair of similarity 0.85 shares no bucket with probability (1 - 0.85^5)^24 < 1e-6.
 
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, maybe_in, skew_safe_join
+from .common import cut, join_groups, maybe_in
 from .components import components
 from .shingles import ascii_words, mix, shingles
 
@@ -39,6 +41,8 @@ SALT = 512
 #: Signature values of a linked pair may fall short of the similarity by this many standard deviations.
 DEVIATIONS = 6
 MOST_PIVOTS = 256
+#: Members, and shingles of them, that are held against another such block at once; shingles of a product of matrices.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 512, 400_000, 4096
 #: Bytes of text and number of texts that a task hashes together.
 SLICE_BYTES, SLICE = 1 << 19, 256
 
@@ -134,9 +138,8 @@ def likely(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([x.column(0).filter(met), x.column(1).filter(met)], ["a", "b"])
 
     first = pairs.join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
-    sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("size"))
-    pivots = cut(sizes.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a"))
-    return skew_safe_join(first, pivots, ["a"], "size").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    pivots = cut(pairs.select("a").distinct().join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a"), slim=True)
+    return join_groups(first, pivots, ["a"]).select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, percent: int, gram: int) -> DataFrame:
@@ -159,9 +162,9 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int, gram: int) -> DataFr
                 met = pa.array(met)
                 yield pa.RecordBatch.from_arrays([a.filter(met), b.filter(met)], ["a", "b"])
 
-    sizes = cut(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("size")))
+    sizes = cut(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("size")), slim=True)
     salts = F.ceil(F.col("size") / SALT)
-    salted = skew_safe_join(pairs, sizes.withColumn("salts", salts), ["a"], "size").select("a", "b", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"))
+    salted = join_groups(pairs, sizes.withColumn("salts", salts), ["a"]).select("a", "b", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"))
     ends = sizes.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
     texts = cut(maybe_in(docs, F.xxhash64("doc_id"), ends, F.xxhash64("a")))
     left = sizes.select("a", F.explode(F.sequence(F.lit(0), (salts - 1).cast("int"))).alias("salt")).join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -170,6 +173,65 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int, gram: int) -> DataFr
     return met.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
+def block_links(texts: list[str], ids: list[int], labels: list[int], percent: int, gram: int) -> list[tuple[int, int]]:
+    """A linked pair of members for each two labels of which members are linked."""
+    hashes, starts = [], [0]
+    for lo, hi in _slices(texts):
+        h, s = shingles([ascii_words(t) for t in texts[lo:hi]], gram)
+        hashes += [np.unique(h[x:y]) for x, y in zip(s[:-1], s[1:])]
+    sizes = np.array([len(x) for x in hashes])
+    _, which, often = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+    member = np.repeat(np.arange(len(texts)), sizes)
+    several = often[which] > 1
+    number = np.cumsum(often > 1) - 1
+    which, member = number[which[several]], member[several]
+    order = np.argsort(which, kind="stable")
+    which, member = which[order], member[order]
+    shared = np.zeros((len(texts), len(texts)), np.float32)
+    for lo in range(0, int(which[-1]) + 1 if len(which) else 0, COLUMNS):
+        x, y = np.searchsorted(which, (lo, lo + COLUMNS))
+        has = np.zeros((len(texts), COLUMNS), np.float32)
+        has[member[x:y], which[x:y] - lo] = 1
+        shared += has @ has.T
+    label = np.array(labels)
+    a, b = np.nonzero((100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)) & (label[:, None] < label[None, :]))
+    _, first = np.unique(np.stack([label[a], label[b]]), axis=1, return_index=True)
+    return [(ids[a[k]], ids[b[k]]) for k in first.tolist()]
+
+
+def in_homes(homes: DataFrame, sigs: DataFrame, docs: DataFrame, percent: int, gram: int) -> DataFrame:
+    """Links (a, b) between differently labelled members (rep, home, label) of a home, all of whose members are held against
+    each other. The pairs of its blocks are tasks of their own; links are given, and one of each two labels is enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            ids, labels, texts = zip(*held)
+            found = block_links(list(texts), list(ids), list(labels), percent, gram) if len(set(labels)) > 1 else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
+
+        for x in batches:
+            for home, i, j, *member in zip(*(c.to_pylist() for c in x.columns)):
+                if (home, i, j) != key:
+                    if held:
+                        yield from out()
+                    key, held = (home, i, j), []
+                held.append(member)
+        if held:
+            yield from out()
+
+    sized = homes.join(sigs.select("rep", "n"), "rep")
+    parts = sized.groupBy("home").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"), F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("home", "parts")
+    own = join_groups(homes, cut(parts, slim=True), ["home"]).withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
+    own = cut(own, slim=True)
+    texts = maybe_in(docs, F.xxhash64("doc_id"), own, F.xxhash64("rep")).dropDuplicates(["doc_id"])
+    full = own.join(texts, own["rep"] == texts["doc_id"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    keys = ["home", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")]
+    return full.select(*keys, "rep", "label", "text").repartition("home", "i", "j").sortWithinPartitions("home", "i", "j").mapInArrow(run, "a long, b long")
+
+
 def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = 85, gram: int = GRAM) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs``; of each component the smallest doc_id stays.
 
@@ -180,38 +242,46 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", perc
     valid = sketches.where("n > 0 and doc_id is not null")
     digest = ["set_a", "set_b", "n"]
     groups = cut(valid.groupBy(*digest).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")))
-    members = cut(skew_safe_join(valid.select("doc_id", *digest), groups, digest, "size").select("doc_id", "rep").distinct())
+    members = cut(join_groups(valid.select("doc_id", *digest), groups, digest).select("doc_id", "rep").distinct())
     reps = valid.join(groups.select(F.col("rep").alias("doc_id"), *digest), ["doc_id", *digest]).withColumnRenamed("doc_id", "rep")
-    sigs = cut(reps.dropDuplicates(["rep"]).select("rep", "sig"))
+    sigs = cut(reps.dropDuplicates(["rep"]).select("rep", "n", "sig"))
 
     spread = reps.select("rep", F.explode("buckets").alias("bucket"))
     sizes = cut(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-    met = skew_safe_join(cut(maybe_in(spread, F.col("bucket"), sizes, F.col("bucket"))), sizes, ["bucket"], "size")
+    met = join_groups(cut(maybe_in(spread, F.col("bucket"), sizes, F.col("bucket"))), sizes, ["bucket"])
     met = cut(met.distinct())
-    open_rows = cut(met.join(met.groupBy("rep").agg(F.sum("size").alias("weight")), "rep").select("bucket", "rep", "weight", F.col("rep").alias("label")))
+    open_rows = cut(met.join(met.groupBy("rep").agg(F.sum("size").alias("weight")), "rep").select("bucket", "rep", "weight", F.col("rep").alias("label"), F.col("rep").alias("home")))
 
     links = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    pivots = 1
+    pivots, homes = 1, None
     found: DataFrame | None = None
     while not open_rows.isEmpty():
-        best = F.struct("weight", (-F.col("rep")).alias("minus"), "label")
+        best = F.struct("weight", (-F.col("rep")).alias("minus"), "label", "home")
         if pivots == 1:
-            chosen = open_rows.groupBy("bucket").agg(F.array(F.max(best)).alias("best"), F.count(F.lit(1)).alias("size"))
+            chosen = open_rows.groupBy("bucket").agg(F.array(F.max(best)).alias("best"))
         else:
             place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("weight"), "rep"))
-            top = open_rows.withColumn("place", place).where(F.col("place") <= pivots).groupBy("bucket").agg(F.collect_list(best).alias("best"))
-            chosen = top.join(open_rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")), "bucket")
-        tried = cut(skew_safe_join(open_rows, cut(chosen), ["bucket"], "size"))
-        each = tried.select("rep", "label", F.explode("best").alias("p")).where("p.label <> label and -p.minus <> rep")
-        pairs = cut(likely(cut(each.select((-F.col("p.minus")).alias("a"), F.col("rep").alias("b")).distinct()), sigs, percent))
-        new = verify(pairs, rows, percent, gram)
-        found = cut(new if found is None else new.unionByName(found))
+            chosen = open_rows.withColumn("place", place).where(F.col("place") <= pivots).groupBy("bucket").agg(F.collect_list(best).alias("best"))
+        tried = cut(join_groups(open_rows, cut(chosen, slim=True), ["bucket"]).withColumn("own", F.exists("best", lambda p: -p["minus"] == F.col("rep"))))
+        # once there are homes, members that share one have been held against each other
+        asked = lambda p: (p["label"] != F.col("label")) & (~F.col("own") | (-p["minus"] < F.col("rep"))) & (F.lit(homes is None) | (p["home"] != F.col("home")))
+        wanted = tried.select("rep", F.transform(F.filter("best", asked), lambda p: -p["minus"]).alias("of")).where(F.size("of") > 0)
+        each = wanted.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_set("of"))).alias("of")).select(F.explode("of").alias("a"), F.col("rep").alias("b"))
+        new = verify(cut(likely(cut(each, slim=True), sigs, percent), slim=True), rows, percent, gram)
+        found = cut(new if found is None else new.unionByName(found), slim=True)
         labels = components(found)
-        rest = tried.where(~F.exists("best", lambda p: -p["minus"] == F.col("rep"))).select("bucket", "rep", "weight")
-        named = cut(rest.join(labels, rest["rep"] == labels["node"], "left").select("bucket", "rep", "weight", F.coalesce("component", "rep").alias("label")))
-        still = cut(named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("bucket", "size"))
-        open_rows = cut(skew_safe_join(named, still, ["bucket"], "size").drop("size"))
-        pivots = min(4 * pivots, MOST_PIVOTS)
+        if homes is None:
+            count = tried.select("rep", F.col("best")[0]["minus"].alias("minus")).groupBy("rep", "minus").agg(F.count(F.lit(1)).alias("n"))
+            nearest = count.groupBy("rep").agg((-F.max(F.struct("n", "minus"))["minus"]).alias("home"))
+            homes = cut(nearest.join(labels, nearest["rep"] == labels["node"], "left").select("rep", "home", F.coalesce("component", "rep").alias("label")), slim=True)
+            found = cut(found.unionByName(in_homes(homes, sigs, rows, percent, gram)), slim=True)
+            labels = components(found)
+            tried = tried.drop("home").join(homes.select("rep", "home"), "rep")
+        rest = tried.where("not own").select("bucket", "rep", "weight", "home")
+        named = cut(rest.join(labels, rest["rep"] == labels["node"], "left").select("bucket", "rep", "weight", "home", F.coalesce("component", "rep").alias("label")), slim=True)
+        still = cut(named.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.min("home").alias("h"), F.max("home").alias("i")).where("l <> m and h <> i").select("bucket"), slim=True)
+        open_rows = cut(join_groups(named, still, ["bucket"]), slim=True)
+        pivots = min(MOST_PIVOTS, 16 * pivots)
     if found is not None:
         links = links.unionByName(found)
     labels = components(links)

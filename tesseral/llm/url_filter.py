@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, skew_safe_join
+from .common import cut, join_groups
 
 FAR = "9999-12-31"
 
@@ -58,7 +58,7 @@ def url_filter(captures: DataFrame, events: DataFrame, key: str = "page_id", url
     entries = monthly.groupBy("pattern", "month").agg(F.collect_list(F.struct("list", "since", "until")).alias("spans"))
     counts = asked.groupBy("pattern", "month").agg(F.count(F.lit(1)).alias("size"))
     groups = cut(entries.join(counts, ["pattern", "month"]))
-    met = skew_safe_join(asked, groups, ["pattern", "month"], "size").select("k", "u", "day", F.filter("spans", lambda s: (s["since"] <= F.col("day")) & (F.col("day") < s["until"])).alias("now")).where(F.size("now") > 0)
+    met = join_groups(asked, groups, ["pattern", "month"]).select("k", "u", "day", F.filter("spans", lambda s: (s["since"] <= F.col("day")) & (F.col("day") < s["until"])).alias("now")).where(F.size("now") > 0)
     found = met.groupBy("k", "u", "day").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform("now", lambda s: s["list"]))))), ",").alias("lists"), F.sum(F.size("now")).alias("n_entries"))
     c, f = captures.alias("c"), found.alias("f")
     on = F.col(f"c.{key}").eqNullSafe(F.col("f.k")) & (F.xxhash64(f"c.{url}") == F.col("f.u")) & (F.col(f"c.{fetched}").cast("date") == F.col("f.day"))
