@@ -43,8 +43,8 @@ SPAN, GRAM = 50, 24
 #: Anchors of a window start at one of so many places.
 PLACES = SPAN - GRAM + 1
 REACH = PLACES - 1
-#: Bytes of text hashed together, anchors or suffixes that a task gathers before it sends a run, bytes of input a range.
-CHUNK, GATHER, RUN, RANGE_BYTES = 1 << 20, 1 << 21, 1 << 18, 4 << 20
+#: Bytes of text hashed together, anchors or suffixes that a task gathers before it sends a run, bytes of text a range.
+CHUNK, GATHER, RUN, RANGE_BYTES = 1 << 20, 1 << 21, 1 << 18, 8 << 20
 MARK = -(1 << 63)
 
 _rng = np.random.default_rng(104729)
@@ -545,8 +545,8 @@ def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def removed_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, a, b): spans whose union in each document of (doc_id, text) is what is to be removed."""
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    bits = max(5, min(20, (2 * size // RANGE_BYTES).bit_length()))
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    bits = max(3, min(20, (size // RANGE_BYTES).bit_length()))
     known = docs.where("doc_id is not null")
     by_range = lambda df: df.repartition(1 << min(bits, 14), "range").sortWithinPartitions("range")
     found = by_range(known.mapInArrow(seen(bits), SENT)).mapInArrow(repeated(), "doc_id long, a long, b long")
