@@ -10,7 +10,7 @@ from tesseral.llm.decontaminate import decontaminate
 from tesseral.llm.language_id import UNKNOWN, learn, predict
 from tesseral.llm.line_dedup import line_dedup
 from tesseral.llm.near_dedup import near_dedup
-from tesseral.llm.sentencepiece_codec import decode, encode
+from tesseral.llm.sentencepiece_codec import encode
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Texts nearer to no profile than this are in no known language; held-out prose, however short, scores 0.38 and more.
@@ -45,7 +45,7 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, ids, n_tokens, and whether decoding the ids gives the text."""
     rows = docs.select("doc_id", "source", "text", F.sha2("text", 256).alias("text_sha256"))
-    back = decode(encode(rows))
+    back = encode(rows, decoded="decoded")
     return back.select("doc_id", "source", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), F.sha2("decoded", 256).eqNullSafe(F.col("text_sha256")).alias("round_trip"))
 
 

@@ -11,7 +11,7 @@ from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .language_id import identify
 from .near_dedup import near_dedup
-from .sentencepiece_codec import decode, encode
+from .sentencepiece_codec import encode
 from .suffix_dedup import suffix_dedup
 from .url_filter import url_filter
 from .license_scan import NOTICES, PHRASES, license_scan
@@ -36,7 +36,7 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.sha2("text", 256).alias("text_sha256"))
-    back = decode(encode(docs))
+    back = encode(docs, decoded="decoded")
     return back.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), F.sha2("decoded", 256).eqNullSafe(F.col("text_sha256")).alias("round_trip"))
 
 

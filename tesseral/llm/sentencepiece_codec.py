@@ -29,11 +29,14 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Texts that a task takes together, and words and pairs that a worker remembers.
-SLICE, REMEMBERED = 1024, 1 << 20
+#: Texts that a task takes together, and words (twice) and pairs that a worker remembers.
+SLICE, WORDS, PAIRS = 1024, 1 << 17, 1 << 19
 #: Ids that stand for no piece: the start of a word, a character without a piece, a place that no path reaches.
 START, NO_PIECE, UNREACHED = -1, -2, -3
 
+#: Words above this length are few, and advance alone.
+LONG_WORD = 96
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -47,11 +50,17 @@ class Model:
         self.power = np.cumprod(np.full(self.longest + 1, _BASE, np.uint64)) * pow(int(_BASE), -1, 1 << 64)
         self.power = self.power.astype(np.uint64)
         keys = np.array([self.hashes(np.array([[ord(c) for c in pieces[k]]], np.uint64))[0, -1] for k in plain], np.uint64)
+        #: By the high bits of a hash, whether any piece has it: most substrings are done with here.
+        self.gate = np.zeros(1 << 20, bool)
+        self.gate[(keys >> np.uint64(44)).astype(np.int64)] = True
+        self.slots, self.fits = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(plain, np.int64)[order]
         self.score = np.array(scores, np.float64)
         self.worst = float(self.score[plain].min() if plain else 0) - 10
+        self.by_text = {pieces[k]: k for k in plain}
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
         self.texts = [self._bytes(k, special) for k in range(len(pieces))]
         inner = any(MARK in pieces[k].lstrip(MARK) for k in plain)
@@ -76,8 +85,12 @@ class Model:
         rows = np.arange(len(sums))[:, None]
         size = hi - lo
         key = sums[rows, hi] - sums[rows, lo] * self.power[np.minimum(size, self.longest)]
+        out = np.full(key.shape, NO_PIECE, np.int64)
+        where = np.nonzero(self.gate[(key >> np.uint64(44)).astype(np.int64)] & (size <= self.longest) & (size > 0))
+        key = key[where]
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (size <= self.longest) & (size > 0), self.ids[at], NO_PIECE)
+        out[where] = np.where(self.keys[at] == key, self.ids[at], NO_PIECE)
+        return out
 
     def merged(self, chars: np.ndarray) -> list[list[int]]:
         """Where the pieces of each row of code points end by BPE: the best pair is merged, the leftmost of equals, until none is left."""
@@ -112,10 +125,20 @@ class Model:
     def together(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether BPE leaves pieces as they are when they stand side by side."""
         key = left * np.int64(len(self.pieces)) + right
+        slot = ((key.astype(np.uint64) * _BASE) >> np.uint64(44)).astype(np.int64)
+        out = self.fits[slot]
+        new = np.flatnonzero(self.slots[slot] != key)
+        if len(new):
+            out[new] = self._together(key[new])
+            self.slots[slot[new]] = key[new]
+            self.fits[slot[new]] = out[new]
+        return out
+
+    def _together(self, key: np.ndarray) -> np.ndarray:
         each, back = np.unique(key, return_inverse=True)
         new = [k for k in each.tolist() if k not in self.pairs]
         if new:
-            if len(self.pairs) > 8 * REMEMBERED:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
                 new = each.tolist()
             by_length: dict[int, list[tuple[int, str, int]]] = defaultdict(list)
@@ -165,24 +188,63 @@ class Model:
             out.append([x for k in reversed(ids) for x in ([k] if k >= 0 else self.spelt(-1 - k))])
         return out
 
+    def alone(self, word: str) -> list[int]:
+        """The ids of one word that is too long to be worth a batch: the same pass, a character at a time."""
+        back, last, total = [0] * (len(word) + 1), [UNREACHED] * (len(word) + 1), [0.0] * (len(word) + 1)
+        last[0] = START
+        many, pairs = len(self.pieces), self.pairs
+        for end in range(1, len(word) + 1):
+            best = -np.inf
+            for start in range(max(0, end - self.longest), end):
+                before = last[start]
+                piece = self.by_text.get(word[start:end], NO_PIECE)
+                if before == UNREACHED or piece == NO_PIECE and start < end - 1:
+                    continue
+                if not self.bpe:
+                    weight = total[start] + (self.score[piece] if piece >= 0 else self.worst)
+                elif piece >= 0 and before >= 0:
+                    fits = pairs.get(before * many + piece)
+                    if fits is None:
+                        fits = bool(self.together(np.array([before]), np.array([piece]))[0])
+                    weight = 0.0 if fits else -np.inf
+                else:
+                    weight = 0.0
+                if weight > best:
+                    best, back[end], last[end], total[end] = weight, start, piece, weight
+        out, at = [], len(word)
+        while at:
+            out.append([last[at]] if last[at] >= 0 else self.spelt(ord(word[at - 1])))
+            at = back[at]
+        return [k for part in reversed(out) for k in part]
+
     def spelt(self, char: int) -> list[int]:
         return [self.bytes[b] for b in chr(char).encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
         cut = [self.cut.findall((MARK if self.prefix else "") + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
+        if len(self.words) > WORDS:
+            self.words, self.older = {}, self.words
         by_length: dict[int, list[str]] = defaultdict(list)
         for word in {w for c in cut for w in c}:
             if word not in self.words:
-                by_length[len(word)].append(word)
-        for group in by_length.values():
-            step = max(1, (1 << 18) // (len(group[0]) + 16))
+                if word in self.older:
+                    self.words[word] = self.older[word]
+                else:
+                    by_length[len(word)].append(word)
+        for length, group in by_length.items():
+            if length > LONG_WORD:
+                self.words.update((w, np.array(self.alone(w), np.int32).tobytes()) for w in group)
+                continue
+            step = max(1, (1 << 18) // (length + 16))
             for lo in range(0, len(group), step):
                 part = group[lo : lo + step]
                 self.words.update((w, np.array(ids, np.int32).tobytes()) for w, ids in zip(part, self.viterbi(part)))
         return [None if t is None else np.frombuffer(b"".join(map(self.words.__getitem__, c)), np.int32) for t, c in zip(texts, cut)]
 
+    def forget(self) -> None:
+        """Lets go of the words; workers live on after a task."""
+        self.words, self.older = {}, {}
+
     def decode(self, ids: np.ndarray) -> str:
         data = b"".join(map(self.texts.__getitem__, ids.tolist()))
         return data[1 if self.prefix and data[:1] == b" " else 0 :].decode("utf-8", "replace")
@@ -205,10 +267,13 @@ def load(path: str) -> Model:
     return Model([p.piece for p in proto.pieces], [p.score for p in proto.pieces], byte_ids, special, proto.trainer_spec.model_type == 2, proto.normalizer_spec.add_dummy_prefix, unknown)
 
 
-def encode(docs: DataFrame, text: str = "text", ids: str = "ids", model: str = MODEL) -> DataFrame:
-    """``docs`` with the ids of a text column in the place of that column."""
+def encode(docs: DataFrame, text: str = "text", ids: str = "ids", model: str = MODEL, decoded: str | None = None) -> DataFrame:
+    """``docs`` with the ids of a text column in the place of that column; ``decoded`` names a column for the ids' text,
+    made in the same pass."""
     place = docs.columns.index(text)
     schema = StructType([f for k, f in enumerate(docs.schema) if k != place]).add(ids, ArrayType(IntegerType()))
+    if decoded:
+        schema = schema.add(decoded, StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load(model)
@@ -219,8 +284,11 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", model: str = M
                 offsets = np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in found])]).astype(np.int32)
                 values = np.concatenate([x for x in found if x is not None] or [np.zeros(0, np.int32)])
                 mask = pa.array([x is None for x in found], pa.bool_())
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=mask)
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(part.num_columns) if k != place), lists], schema.names)
+                made = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=mask)]
+                if decoded:
+                    made.append(pa.array([None if x is None else coder.decode(x) for x in found], pa.string()))
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(part.num_columns) if k != place), *made], schema.names)
+        coder.forget()
 
     return docs.mapInArrow(run, schema)
 

@@ -80,6 +80,8 @@ def test_columns(edges, nothing):
     assert sorted((r.decoded is None, r.decoded or "") for r in rows) == sorted((t is None, t or "") for _, t in EDGES)
     assert all((r.ids is None) == (r.decoded is None) for r in rows)
     assert decode(encode(nothing)).count() == 0
+    once = encode(edges, decoded="decoded")
+    assert once.columns == back.columns and sorted(map(str, once.collect())) == sorted(map(str, rows))
 
 
 _pieces = ["<unk>", "a", "b", "c", "ab", "bc", "abc", "ca", "aa", MARK, f"{MARK}a", f"{MARK}ab"]
