@@ -63,6 +63,43 @@ def test_lines_keep_the_first_copy(spark):
     assert clash.columns[-2:] == ["_n_lines", "n_removed"] and clash.count() == 4
 
 
+def brute_lines(pairs, min_lines=2):
+    """The lines that stay: of each run of lines that an earlier place has, all go."""
+    seen, out = set(), {}
+    for d, t in sorted((d, t) for d, t in pairs if t):
+        lines = t.split("\n")
+        gone = set()
+        for i in range(len(lines) - min_lines + 1):
+            window = tuple(lines[i : i + min_lines])
+            if window in seen:
+                gone.update(range(i, i + min_lines))
+            seen.add(window)
+        out[d] = "\n".join(x for i, x in enumerate(lines) if i not in gone), len(lines), len(gone)
+    return out
+
+
+@pytest.mark.parametrize("n", range(2, 9))
+def test_lines_take_short_passages_whole(spark, n):
+    """Passages of n lines between neighbours that differ go from all places but the first, with no line left."""
+    table = []
+    for p in range(12):
+        shared = [f"line {k} of passage {p} among {n}" for k in range(n)]
+        for copy in range(3):
+            own = [f"own {p} {copy} {k}" for k in range(5)]
+            table.append((100 * copy + p, "\n".join(own[: 1 + copy] + shared + own[1 + copy :])))
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup(docs(spark, table)).collect()}
+    for d, t in table:
+        own = "\n".join(x for x in t.split("\n") if x.startswith("own"))
+        assert got[d] == ((t, 0) if d < 100 else (own, n))
+
+
+@pytest.mark.parametrize("min_lines", [1, 2, 3])
+def test_lines_equal_brute_force(spark, corpus, min_lines):
+    part = [(d, t) for d, t in corpus if t] + [(10**6, "x\n" * 3000), (10**6 + 1, "x\nx"), (10**6 + 2, "y\nx\nx\n\nz"), (10**6 + 3, "z\n\nz\n\nz")]
+    rows = line_dedup(docs(spark, part), min_lines=min_lines).collect()
+    assert {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in rows} == brute_lines(part, min_lines)
+
+
 def sets_of(pairs, gram=5):
     out = {}
     for d, t in pairs:
