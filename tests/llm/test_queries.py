@@ -33,3 +33,16 @@ def test_pipeline_stages(spark):
     assert docs.where("not round_trip").count() == 0
     assert docs.count() == corpus_pipeline.run(spark, SMALL).count()
     assert docs.count() > 0.9 * spark.read.parquet(f"{SMALL}/documents.parquet").count()
+
+
+UNLEARNT = [
+    "Nel mezzo del cammino di nostra vita mi ritrovai per una selva oscura, ché la diritta via era smarrita. Ahi quanto a dir qual era è cosa dura questa selva selvaggia e aspra e forte che nel pensier rinova la paura.",
+    "De kat zit op de mat en kijkt naar buiten, waar het al de hele dag regent. Morgen gaan wij met de trein naar Utrecht om daar onze vrienden te bezoeken en samen een kop koffie te drinken.",
+]
+
+
+def test_language_stage_rejects_unlearnt_languages(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    other = spark.createDataFrame([(10**6 + k, t, None, "s", len(t)) for k, t in enumerate(UNLEARNT)], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs.union(other), SMALL).collect()}
+    assert kept == {r.doc_id for r in docs.collect()}
