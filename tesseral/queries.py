@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .engine import Engine
 from .operators import fixed
 from .plans.stats import classify_filter, column_stats, stats_frame
-from .sources.files import open_table
+from .sources.files import open_table, read_json
 from .streaming.incremental import csv_stream, run_available
 
 KEYS = ["l_orderkey", "l_linenumber"]
@@ -92,7 +92,7 @@ def round_trip(kind: str) -> Query:
             return open_table(spark, path, ["int64", "int32", "float64", "float64"])
         if kind == "json":
             rows.write.json(path)
-            return spark.read.schema(rows.schema).json(path).na.drop()
+            return read_json(spark, path, rows.schema)
         getattr(rows.write, kind)(path)
         return open_table(spark, path)
 

@@ -23,3 +23,12 @@ def test_query(name, spark, duck):
     df = QUERIES[name](spark, SMALL)
     found = duck.execute(SQL[name])
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of([c[0] for c in found.description], found.fetchall())
+
+
+def test_json_goes_through_the_own_reader(spark, monkeypatch):
+    import tesseral.queries as q
+
+    seen = []
+    own = q.read_json
+    monkeypatch.setattr(q, "read_json", lambda *a: seen.append(a) or own(*a))
+    assert q.QUERIES["source_json"](spark, SMALL).columns == q.PRICED and len(seen) == 1
