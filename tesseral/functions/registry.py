@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import SparkSession
 
@@ -16,14 +17,22 @@ def statements(text: str) -> list[str]:
     return [s.strip() for s in "\n".join(lines).split(";") if s.strip()]
 
 
+#: By session, the statements that ran last: an engine that brings the same costs nothing.
+_done: WeakKeyDictionary[SparkSession, str] = WeakKeyDictionary()
+
+
 def register_functions(spark: SparkSession, path: str | None = None) -> None:
     """Runs the CREATE FUNCTION statements of a file (``custom.sql`` in the working directory if it is there, else DEFAULT)."""
     if path is None:
         path = "custom.sql" if Path("custom.sql").is_file() else None
-    for statement in statements(Path(path).read_text() if path else DEFAULT):
+    text = Path(path).read_text() if path else DEFAULT
+    if _done.get(spark) == text:
+        return
+    for statement in statements(text):
         if not statement.upper().startswith("CREATE"):
             raise ValueError(f"not a function definition: {statement}")
         spark.sql(statement)
+    _done[spark] = text
 
 
 def register_vectorized(spark: SparkSession, name: str, function, returns: str = "double") -> None:

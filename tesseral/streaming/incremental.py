@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import DataType
 
 from tesseral.engine import project
-from tesseral.sources.files import csv_schema
+from tesseral.sources.files import Schema, csv_options, csv_schema
 
 
-def csv_stream(spark: SparkSession, folder: str, expr: str, sample: str, schema: Sequence[str | DataType] | None = None, files_per_batch: int = 1) -> DataFrame:
+def csv_stream(spark: SparkSession, folder: str, expr: str, sample: str, schema: Schema = None, files_per_batch: int = 1) -> DataFrame:
     """``expr [WHERE cond]`` over the CSV files of a folder, a batch of files at a time. ``sample``: a file whose header names the columns."""
-    source = spark.readStream.schema(csv_schema(spark, sample, schema)).option("header", True).option("mode", "FAILFAST").option("maxFilesPerTrigger", files_per_batch)
+    kinds = csv_schema(spark, sample, schema)
+    source = spark.readStream.schema(kinds).options(**csv_options(kinds), maxFilesPerTrigger=files_per_batch)
     return project(source.csv(folder), expr)
 
 

@@ -11,6 +11,7 @@ from tesseral.errors import QueryError
 from tesseral.functions.registry import register_functions, register_vectorized
 from tesseral.operators import fixed
 from tesseral.operators.results import SharedResult, to_arrow, to_floats
+from tesseral.sources.files import write_arrow
 from tesseral.plans.stats import ColumnStats, classify_filter, column_stats
 from tesseral.streaming.incremental import csv_stream, run_available
 
@@ -152,6 +153,94 @@ def test_other_formats(spark, samples, tmp_path):
     assert Engine(spark, str(tmp_path / "t.arrow")).df.rdd.getNumPartitions() == 2
 
 
+def test_json_columns_by_name_and_in_file_order(spark, tmp_path):
+    (tmp_path / "t.json").write_text('\n{"price": 1.5, "quantity": 2, "name": "b"}\n{"quantity": 3, "name": "a", "price": 2.5}\n{"price": 9}\nnot json\n')
+    e = Engine(spark, str(tmp_path / "t.json"), ["float64", "int32", "string"])
+    assert sorted(map(tuple, e.df.collect())) == [(1.5, 2, "b"), (2.5, 3, "a")]
+    assert [f.dataType.simpleString() for f in e.df.schema] == ["double", "int", "string"]
+    assert sorted(map(tuple, Engine(spark, str(tmp_path / "t.json"), "name string, price double").df.collect())) == [("a", 2.5), ("b", 1.5)]
+    assert Engine(spark, str(tmp_path / "t.json")).df.columns == ["price", "quantity"]
+    (tmp_path / "u.jsonl").write_text('{"x": 1, "a": "s"}\n{"x": 2, "a": "t"}\n')
+    assert sorted(map(tuple, Engine(spark, str(tmp_path / "u.jsonl")).df.collect())) == [(1, "s"), (2, "t")]
+    assert sorted(map(tuple, Engine(spark, str(tmp_path / "u.jsonl"), ["int64", "string"]).df.collect())) == [(1, "s"), (2, "t")]
+    with pytest.raises(QueryError, match="Schema size does not match column count"):
+        Engine(spark, str(tmp_path / "u.jsonl"), ["int64"])
+    with pytest.raises(QueryError, match="No line of .* has the columns price, quantity"):
+        Engine(spark, str(tmp_path / "u.jsonl"), "price double, quantity int")
+    (tmp_path / "e.json").write_text("")
+    assert Engine(spark, str(tmp_path / "e.json")).df.count() == 0
+    with pytest.raises(QueryError, match="Unable to open file"):
+        Engine(spark, str(tmp_path / "none.json"))
+
+
+def test_csv_headers(spark, tmp_path):
+    (tmp_path / "my-file.csv").write_text('"price", quantity\n1.5, 2\n"2.5",3\n')
+    e = Engine(spark, str(tmp_path / "my-file.csv"))
+    assert sorted(to_floats(e.query("price * quantity"))) == [3, 7.5]
+    assert e.query_sql("SELECT SUM(my_file.price) FROM my_file").first()[0] == 4
+    (tmp_path / "my.data.csv").write_text('"a,b",x\n1,2\n')
+    e = Engine(spark, str(tmp_path / "my.data.csv"))
+    assert e.df.columns == ["a,b", "x"] and e.query_sql("SELECT my.data.x FROM my.data").first()[0] == 2
+    (tmp_path / "8.csv").write_text("name,n\n padded ,2\n")
+    assert [tuple(r) for r in Engine(spark, str(tmp_path / "8.csv"), ["string", "int32"]).query_sql("SELECT name, n FROM _8").collect()] == [(" padded ", 2)]
+
+
+def test_two_engines_keep_their_tables_apart(spark, tmp_path):
+    for name, price in (("a", 1), ("b", 2)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "test.csv").write_text(f"price,quantity\n{price},1\n")
+    a, b = (Engine(spark, str(tmp_path / n / "test.csv")) for n in "ab")
+    for e, price in ((a, 1), (b, 2)):
+        assert e.query("price").first()[0] == e.query_sql("SELECT price FROM test").first()[0] == e.sql("SELECT price FROM test").first()[0] == price
+    spark.createDataFrame([(7,)], "price int").createOrReplaceTempView("test")
+    assert a.sql("SELECT price FROM test").first()[0] == 1
+    assert spark.table("test").first()[0] == 7
+    spark.catalog.dropTempView("test")
+
+
+def test_self_join_and_pairs(engine, spark):
+    df = engine.query_sql("SELECT a.price AS x, b.price AS y FROM test AS a JOIN test AS b ON a.quantity + 1 = b.quantity")
+    assert sorted(map(tuple, df.collect())) == [(10.5, 20.0), (15.25, 10.5), (20.0, 30.0)]
+    with pytest.raises(QueryError, match="JOIN condition: Unknown column: b.foo"):
+        engine.query_sql("SELECT a.price FROM test AS a JOIN test AS b ON a.price = b.foo")
+    own = Engine(spark)
+    own.register_table("big", spark.range(10_000_000))
+    own.register_table("small", spark.range(3))
+    with pytest.warns(UserWarning, match="all pairs"):
+        own.query_sql("SELECT big.id FROM big AS big JOIN big AS other ON big.id < other.id")
+    assert own.query_sql("SELECT small.id FROM big JOIN small ON big.id < small.id").count() == 3
+
+
+def test_aggregates_over_all_rows(engine):
+    assert to_floats(engine.query("price / SUM(price) OVER () WHERE quantity > 3")) == pytest.approx([0.4, 0.6])
+    assert engine.query("price - MAX(price) OVER () WHERE price > 15", mask=True).collect()[0][0] is None
+    df = engine.query_sql("SELECT price, COUNT(*) OVER () AS n, MIN(price) OVER () AS lo FROM test WHERE price > 12 ORDER BY price")
+    assert [tuple(r) for r in df.collect()] == [(15.25, 3, 15.25), (20, 3, 15.25), (30, 3, 15.25)]
+    assert "Window" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, engine.query_sql("SELECT quantity, SUM(price), SUM(SUM(price)) OVER () AS t FROM test GROUP BY quantity").collect()))[0] == (2, 15.25, 75.75)
+
+
+def test_sign_of_a_zero_divisor(spark):
+    e = Engine(spark)
+    e.register_table("t", spark.createDataFrame([(1.0, 0.0), (1.0, -0.0), (-2.0, -0.0), (0.0, -0.0)], "a double, b double"))
+    assert to_floats(e.query("a / b"))[:3] == [math.inf, -math.inf, math.inf]
+    assert math.isnan(to_floats(e.query("a / b"))[3])
+
+
+def test_arrow_files_are_written_and_pruned(spark, engine, tmp_path):
+    write_arrow(engine.df.withColumnRenamed("quantity", "n").repartition(2), str(tmp_path / "t.arrow"))
+    e = Engine(spark, str(tmp_path / "t.arrow"))
+    assert e.df.columns == ["price", "n"] and sorted(to_floats(e.query("price WHERE n > 3"))) == [20, 30]
+    assert sorted(r[0] for r in e.query_sql("SELECT n FROM t").collect()) == [2, 3, 4, 5]
+    for q in (e.query("n + 1"), e.query_sql("SELECT n FROM t")):
+        assert "price" not in q._jdf.queryExecution().executedPlan().toString()
+    write_arrow(engine.df.where("price < 0"), str(tmp_path / "none.arrow"))
+    assert Engine(spark, str(tmp_path / "none.arrow")).df.collect() == []
+    with pytest.raises(Exception, match="(?s)boom|ZeroDivision|DIVIDE"):
+        write_arrow(spark.range(4).selectExpr("id", "raise_error('boom') AS x"), str(tmp_path / "bad.arrow"))
+    assert not list((tmp_path).glob("bad.arrow/*"))
+
+
 def test_partitioned_and_chunked(spark, samples):
     e = Engine(spark, str(samples / "test.csv"))
     assert sorted(to_floats(e.query_partitioned("price * quantity", 3))) == pytest.approx([30.5, 31.5, 80, 150])
@@ -239,3 +328,8 @@ def test_command_line(spark, samples, capsys, monkeypatch):
     assert main(["SELECT MAX(price) FROM test", str(samples / "test.csv")]) == 0
     assert main(["foo", str(samples / "test.csv")]) == 1
     assert main([]) == 2
+    assert main(["SELECT SUM(a.price) AS s FROM test AS a JOIN more AS b ON a.price = b.price", str(samples / "test.csv"), "--table", f"more={samples / 'extended.csv'}"]) == 0
+    assert "75.75" in capsys.readouterr().out
+    for extra in (["--partitions", "3"], ["--rows-per-chunk", "2"], ["--schema", "float32,int32"]):
+        assert main(["SUM(price) OVER ()", str(samples / "test.csv"), *extra]) == 0
+        assert "75.75" in capsys.readouterr().out
