@@ -1,46 +1,108 @@
-"""What the operators of this package share: cutting lineage and joins that survive hot keys."""
+"""What the operators of this package share: cutting lineage, letting go of tables and memory, joins that survive hot keys."""
 
 from __future__ import annotations
 
+import ctypes
+import math
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[str] = []
+#: Paths of tables that ``cut`` wrote, by the scopes that are open; the first list is of what no scope will delete.
+_written: list[list[str]] = [[]]
+#: Spark deletes a query's shuffle files when it ends, instead of when the driver next collects its garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one is set only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset a local folder is set, but only if executors are threads of the driver: what executors of a cluster
+    wrote to their own disks would read back as nothing.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, slim: bool = False) -> DataFrame:
+def _path(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+def cut(df: DataFrame, slim: bool = False, keep: bool = False) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back: a lost executor costs nothing that is upstream.
 
-    ``slim`` is for tables of ids, whose shuffle partitions are small: at most four tasks a core write them.
+    ``slim`` is for tables of ids, whose shuffle partitions are small: at most four tasks a core write them. ``keep``: the
+    table outlives the scope of ``temporary`` in which it is written.
     """
     spark = df.sparkSession
     if slim:
         df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append(path)
+    _written[max(0, len(_written) - 1 - keep)].append(path)
+    was = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")  # nothing but this query reads its shuffles
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, was)
+    files, folder = _path(spark, path)
+    if not any(f.getPath().getName().startswith("part-") for f in files.listStatus(folder)):  # even a table without rows has one
+        raise RuntimeError(f"the driver can't see what the executors wrote to {path}: spark.checkpoint.dir isn't shared")
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    while paths:
+        files, folder = _path(spark, paths.pop())
+        files.delete(folder, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """A scope at whose end the tables go that ``cut`` wrote in it, but for those to keep, which are the outer scope's then."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        _delete(spark, _written.pop())
+
+
 def release(spark: SparkSession) -> None:
-    """Deletes the tables that ``cut`` wrote; results not yet computed can't be read afterwards."""
-    jvm = spark.sparkContext._jvm
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Deletes the tables that ``cut`` wrote and no scope deleted; results not yet computed can't be read afterwards."""
+    _delete(spark, _written[0])
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same task function, which gives its memory back to the machine when it ends; workers live on."""
+
+    def run_and_trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return run_and_trim
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not every C library has it
+        pass
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
@@ -55,14 +117,36 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFram
     return rows.alias("r").join(groups.alias("g"), on).select("r.*", *[f"g.{c}" for c in added])
 
 
-#: A filter has at most this power of two of bits, which are 2^19 words of 64 to broadcast.
-MAX_FILTER_BITS = 25
+#: A filter that is broadcast has at most so many words of 64 bits: 2^27 bits, 32 MB as rows.
+MAX_WORDS = 1 << 21
+BITS_A_KEY = 16
+
+
+def filter_words(keys: int) -> int:
+    """The words of a filter over so many keys: a power of two, BITS_A_KEY bits for each or more, whatever their number."""
+    return 1 << max(0, math.ceil(math.log2(max(1, keys) * BITS_A_KEY / 64)))
+
 
+def filter_mask(h: Column) -> Column:
+    """The bits of a hash in its word: three, each by a hash of its own."""
+    bits = F.xxhash64(h, F.lit(1))
+    return reduce(lambda a, b: a.bitwiseOR(b), [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(bits, 6 * k).bitwiseAND(F.lit(63)).cast("int")) for k in range(3)])
 
-def maybe_in(rows: DataFrame, h: Column, keys: DataFrame, key_h: Column, bits: int = MAX_FILTER_BITS) -> DataFrame:
-    """The rows whose 64-bit hash ``h`` may be one of ``keys``: a Bloom filter with one hash, bounded and broadcast."""
-    slot = lambda x: F.pmod(x, F.lit(1 << bits))
-    bit = F.expr("shiftleft(1L, cast(_slot & 63 as int))")
-    words = keys.select(slot(key_h).alias("_slot")).groupBy(F.shiftright("_slot", 6).alias("_word")).agg(F.bit_or(bit).alias("_mask"))
-    met = rows.withColumn("_slot", slot(h)).withColumn("_word", F.shiftright("_slot", 6)).join(F.broadcast(words), "_word")
-    return met.where(F.col("_mask").bitwiseAND(bit) != 0).select(*rows.columns)
+
+def bloom(keys: DataFrame, h: Column, words: int) -> DataFrame:
+    """(word, mask): a blocked Bloom filter of 64-bit hashes. Tasks combine the masks of a word before they are shuffled."""
+    return keys.select(F.pmod(h, F.lit(words)).alias("word"), filter_mask(h).alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("mask"))
+
+
+def maybe_in(rows: DataFrame, h: Column, keys: DataFrame, key_h: Column) -> DataFrame:
+    """The rows whose 64-bit hash ``h`` may be one of the hashes of ``keys`` (a written table), and few others.
+
+    The filter grows with the keys and is broadcast up to MAX_WORDS. Beyond, rows come back as they are: an exact join by the
+    same key follows wherever this is used, and it alone does the work then.
+    """
+    words = filter_words(keys.count())
+    if words > MAX_WORDS:
+        return rows
+    marks = F.broadcast(bloom(keys, key_h, words).withColumnsRenamed({"word": "_word", "mask": "_mask"}))
+    met = rows.withColumns({"_word": F.pmod(h, F.lit(words)), "_bits": filter_mask(h)}).join(marks, "_word")
+    return met.where(F.col("_mask").bitwiseAND(F.col("_bits")) == F.col("_bits")).select(*rows.columns)

@@ -1,8 +1,12 @@
 """Exact dedup by two passes over a Bloom filter, in DataFrame operations only.
 
-Pass one counts the rows of each filter slot (a counting filter with one hash; slot counters are combined before
-they are shuffled) and keeps the bits that at least two rows set. Pass two tests each row against those bits: a row
-whose bit is not set has no equal anywhere and passes straight through; only the others are shuffled, by SHA-256.
+Pass one counts the rows of each cell of a counting filter (CELLS cells a row; counts are combined in the tasks before they
+are shuffled) and makes a Bloom filter of the cells that two rows or more share. Pass two tests each row against it: a row
+whose bits are not all set has no equal anywhere and passes straight through; only the others are shuffled, by SHA-256.
+
+Cells and filter grow with the rows and with the repeated cells, so the share of rows that are shuffled does not depend on the
+size of the corpus. The filter is broadcast up to MAX_WORDS words (some eight million repeated cells); beyond, it is joined
+by its words, for which rows send what they are here, a doc_id and two hashes, never a text.
 
 Defined cases: a null text counts as empty; an empty table gives an empty result; rows that repeat a doc_id are rows of
 their own, and all of a group's rows with the largest doc_id are kept; null doc_ids lose against any other, and in a group
@@ -11,16 +15,12 @@ that has nothing else they are kept. Columns other than the two named are not re
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_groups
+from .common import MAX_WORDS, bloom, cut, filter_mask, filter_words, join_groups, temporary
 
-#: The filter has 16 slots a row, up to this power of two: 2^25 bits as 64-bit words are 2^19 rows to broadcast at most.
-#: Beyond two million rows more rows take the shuffle by chance; the result is the same.
-MAX_FILTER_BITS = 25
+CELLS = 64
 
 
 def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -28,23 +28,25 @@ def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("h"), F.sha2(body, 256).alias("text_sha256"))
 
 
-def repeated_bits(rows: DataFrame, bits: int) -> DataFrame:
-    """(word, mask): the filter's bits that two rows or more set, 64 in a word."""
-    slots = rows.groupBy(F.pmod("h", F.lit(1 << bits)).alias("slot")).count().where("count > 1")
-    return slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("mask"))
+def possibly_repeated(rows: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
+    """``rows`` (h; a written table) with maybe: whether another row may have the same h."""
+    cell = F.pmod("h", F.lit(max(1, CELLS * rows.count())))
+    shared = cut(rows.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cell"), slim=True)
+    key = F.xxhash64("cell")
+    words = filter_words(shared.count())
+    marks = bloom(shared, key, words)
+    if words <= max_words:
+        marks = F.broadcast(marks)
+    tested = rows.withColumn("cell", cell).withColumns({"word": F.pmod(key, F.lit(words)), "bits": filter_mask(key)}).join(marks, "word", "left")
+    return tested.select(*rows.columns, F.coalesce(F.col("mask").bitwiseAND(F.col("bits")) == F.col("bits"), F.lit(False)).alias("maybe"))
 
 
-def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
+def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_words: int = MAX_WORDS) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row per row of ``docs``; of equal texts the largest doc_id stays."""
-    rows = cut(digests(docs, text, doc_id))
-    bits = min(max_filter_bits, max(6, math.ceil(math.log2(16 * rows.count() + 1))))
-    marks = F.broadcast(repeated_bits(rows, bits))
-    slot = F.pmod("h", F.lit(1 << bits))
-    seen = rows.withColumn("word", F.shiftright(slot, 6)).join(marks, "word", "left")
-    maybe = F.coalesce(F.expr(f"(shiftright(mask, cast(pmod(h, {1 << bits}L) & 63 as int)) & 1) = 1"), F.lit(False))
-    tested = seen.select("doc_id", "text_sha256", maybe.alias("maybe"))
+    with temporary(docs.sparkSession):
+        tested = cut(possibly_repeated(cut(digests(docs, text, doc_id)), max_words).select("doc_id", "text_sha256", "maybe"), keep=True)
+        met = tested.where("maybe").select("doc_id", "text_sha256")
+        groups = cut(met.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), keep=True)
     out = lambda df: df.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
-    single = tested.where("not maybe").select("doc_id", "text_sha256", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    met = tested.where("maybe").select("doc_id", "text_sha256")
-    groups = cut(met.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
-    return out(single).unionByName(out(join_groups(met, groups, ["text_sha256"])))
+    alone = tested.where("not maybe").select("doc_id", "text_sha256", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    return out(alone).unionByName(out(join_groups(met, groups, ["text_sha256"])))
