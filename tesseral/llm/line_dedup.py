@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_groups, maybe_in
+from .common import cut, join_groups, maybe_in, temporary
 
 #: One pair of neighbouring lines in DIVISOR ends a chunk.
 DIVISOR = 3
@@ -78,7 +78,7 @@ def _windows(x: Column, min_lines: int) -> Column:
 
 def _again(places: DataFrame, each: DataFrame) -> DataFrame:
     """The rows of ``places`` (doc_id, text_h, pos, n, hash; written) whose text is at an earlier place; ``each`` has the bodies by hash."""
-    repeated = cut(places.groupBy("hash").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    repeated = cut(places.groupBy("hash").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), slim=True)
     met = cut(join_groups(places, repeated, ["hash"]).drop("size"))
 
     # equal bodies of a task meet in the partial aggregation before anything is shuffled; what a hash has left are its texts
@@ -101,14 +101,15 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_
         rows = keyed.where("text != ''").select("doc_id", "text_h", F.explode(bound).alias("c")).select("doc_id", "text_h", "c.*")
         return rows.withColumn("hash", F.md5("body"))
 
-    whole = spans(_chunks).where(F.col("n") >= min_lines)
-    gone = cut(_again(cut(whole.drop("body")), whole))
-    windows = spans(lambda x: _windows(x, min_lines))
-    # the windows of a chunk that goes are at an earlier place too, none of them is a first one
-    inside = F.col("p.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("p.text_h") == F.col("g.text_h")) & (F.col("p.chunk") == F.col("g.pos"))
-    rest = cut(windows.drop("body").alias("p").join(gone.alias("g"), inside, "left_anti").drop("chunk"))
-    lost = gone.unionByName(_again(rest, windows)).select("doc_id", "text_h", F.explode(F.sequence("pos", F.col("pos") + F.col("n") - 1)).alias("line"))
-    drops = lost.groupBy("doc_id", "text_h").agg(F.collect_set("line").alias("drops"))
+    with temporary(docs.sparkSession):
+        whole = spans(_chunks).where(F.col("n") >= min_lines)
+        gone = cut(_again(cut(whole.drop("body")), whole))
+        windows = spans(lambda x: _windows(x, min_lines))
+        # the windows of a chunk that goes are at an earlier place too, none of them is a first one
+        inside = F.col("p.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("p.text_h") == F.col("g.text_h")) & (F.col("p.chunk") == F.col("g.pos"))
+        rest = cut(windows.drop("body").alias("p").join(gone.alias("g"), inside, "left_anti").drop("chunk"))
+        lost = gone.unionByName(_again(rest, windows)).select("doc_id", "text_h", F.explode(F.sequence("pos", F.col("pos") + F.col("n") - 1)).alias("line"))
+        drops = cut(lost.groupBy("doc_id", "text_h").agg(F.collect_set("line").alias("drops")), keep=True)
 
     n_lines, n_removed, h, d = _names(docs, "n_lines", "n_removed", "text_h", "drops")
     left = docs.withColumn(h, F.xxhash64(body)).alias("l")
