@@ -42,7 +42,7 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return kept.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return kept.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 #: A log of list events. The pages carry no fetch time; a page counts as fetched on day 37 * page_id mod 366 of 2024.
@@ -103,19 +103,15 @@ _templates = ", ".join(f"({k}, '{label}', {exact}, string_split('{text}', ' '))"
 
 SQL = {
     "op1_line_dedup": """
-        WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents WHERE text <> ''),
-        h AS (SELECT *, list_transform(lines, lambda x: CAST('0x' || substr(md5(x), 1, 7) AS BIGINT)) AS hashes FROM l),
-        e AS (
-            SELECT *, list_filter(range(1, len(lines) + 1), lambda i: i = len(lines) OR (i > 1 AND (31 * hashes[i - 1] + hashes[i]) % 3 = 0)) AS ends FROM h
-        ), c AS (
-            SELECT doc_id, lines, k, CASE WHEN k = 1 THEN 1 ELSE ends[k - 1] + 1 END AS pos, ends[k] AS last
-            FROM e, unnest(range(1, len(ends) + 1)) u(k)
-        ), b AS (SELECT doc_id, pos, last - pos + 1 AS n, array_to_string(lines[pos:last], chr(10)) AS body FROM c),
-        f AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, pos) > 1 AND n >= 2 AS gone FROM b),
-        k AS (
-            SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, CAST(coalesce(sum(n) FILTER (gone), 0) AS BIGINT) AS n_removed,
-                   coalesce(string_agg(body, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept
-            FROM f GROUP BY doc_id
+        WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text <> ''),
+        p AS (SELECT doc_id, len(lines) AS n, i AS pos, lines[i] AS line, lines[i + 1] AS next FROM l, unnest(range(1, len(lines) + 1)) u(i)),
+        w AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY line, next ORDER BY doc_id, pos) > 1 AS again FROM p WHERE pos < n),
+        g AS (
+            SELECT p.doc_id, p.pos, p.line, coalesce(a.again, false) OR coalesce(b.again, false) AS gone
+            FROM p LEFT JOIN w a ON a.doc_id = p.doc_id AND a.pos = p.pos LEFT JOIN w b ON b.doc_id = p.doc_id AND b.pos = p.pos - 1
+        ), k AS (
+            SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept
+            FROM g GROUP BY doc_id
         )
         SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
         FROM documents LEFT JOIN k USING (doc_id)""",
@@ -149,6 +145,26 @@ SQL = {
         SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
                coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
         FROM d LEFT JOIN marks USING (doc_id)""",
+    "op6_suffix_dedup": """
+        WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
+        c AS (SELECT doc_id, o, substr(x, 2 * o + 1, 2098) AS y FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 49, 1000)) AS o FROM d WHERE len(x) >= 100)),
+        w AS (
+            SELECT doc_id, o + unnest(range(least(1000, len(y) // 2 - 49))) AS i,
+                   unnest(list_transform(range(least(1000, len(y) // 2 - 49)), lambda j: substr(y, 2 * j + 1, 100))) AS s
+            FROM c
+        ),
+        f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) < doc_id AS found FROM w),
+        h AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM f WHERE found),
+        g AS (SELECT doc_id, i, sum(CASE WHEN i - before <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM h),
+        r AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY doc_id, run),
+        e AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since, lead(a) OVER (PARTITION BY doc_id ORDER BY a) IS NULL AS final FROM r),
+        k AS (
+            SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans,
+                   string_agg(substr(x, 2 * since + 1, 2 * (a - since)) || CASE WHEN final THEN substr(x, 2 * b + 1) ELSE '' END, '' ORDER BY a) AS kept
+            FROM e JOIN d USING (doc_id) GROUP BY doc_id
+        )
+        SELECT doc_id, len(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+        FROM d LEFT JOIN k USING (doc_id)""",
     "op7_url_filter": rf"""
         WITH e(list, pattern, day, listed) AS (VALUES {_events}),
         v AS (SELECT list, pattern, day AS since, listed, lead(day, 1, DATE '9999-12-31') OVER (PARTITION BY list, pattern ORDER BY day) AS until FROM e),
