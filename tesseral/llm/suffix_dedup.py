@@ -2,27 +2,34 @@
 
 Bytes covered by a SPAN-byte string that also starts in a document with a smaller doc_id are removed.
 
-Sampling. In each SPAN-byte window the smallest of its hashed GRAM-byte strings is its anchor. Equal windows have equal
-anchors, so only suffixes that start at an anchor have to be sorted (about one byte in fourteen), each with the bytes
-before it that its windows may reach back to.
+What is sorted. In each SPAN-byte window the smallest of its hashed GRAM-byte strings is its anchor. Equal windows have equal
+anchors at equal places, so the suffixes that start at anchors (about one byte in fourteen), each with the bytes before it that
+its windows may reach back to, decide every pair of equal windows: the suffix array is sparse, and complete for this purpose.
+Suffixes are compared on their first SPAN bytes, as no window reaches further, and they are in the order of a hash of their
+first GRAM bytes and only then of their bytes: that deals them evenly to ranges without samples, and strings that share a
+window's part of GRAM bytes or more are neighbours in it as they are in an order of bytes alone.
 
 Pruning. Hashes of anchors, not suffixes, go through the first exchange; suffixes whose anchor is in one document only
 are never sent.
 
 Sorting. Each task sorts its suffixes and combines equal ones, keeping the smallest document's: the others are covered.
-Sorted runs travel front-coded (length of the prefix shared with the one before, and the rest). Suffixes are ordered
-by a hash of their first GRAM bytes and then by their bytes, which makes ranges of that order even without samples.
-A loser tree merges the runs of a range. Its players know the prefix they share with the last winner, from the front
-coding or from an earlier match, and compare bytes only beyond it. The merge gives the order and the common prefixes
-together; stretches of the order whose common prefix is long enough are equal windows' right parts, and the same over the
-reversed bytes before the anchors gives the left parts.
+Sorted runs travel front-coded (length of the prefix shared with the one before, and the rest). A loser tree merges the runs
+of a range. Its players know the prefix they share with the last winner, from the front coding or from an earlier match, and
+equality and order are read from the first byte beyond it that differs. The merge gives the order and the common prefixes
+together; stretches of the order whose common prefix is long enough are equal windows' right parts. The left parts, the
+reversed bytes before the anchors of a stretch, are put in order by columns in numpy, not by the merge.
 
 Nothing is bounded by luck: a task sends one record for a hash or a suffix however many of its documents have it, so a
-passage in a third of all documents sends a record a task, and ranges are as many as the input asks for.
+passage in a third of all documents sends a record a task. Ranges are as many as the input asks for, without a ceiling, and a
+task, which may have several, holds one at a time.
+
+Rows are told apart by doc_id and a hash of their text; texts are shuffled once to meet the tags of their anchors and once,
+after those shuffle files are gone, to meet their spans.
 
 Defined cases: null text is empty; texts shorter than SPAN bytes stay; matches never cross documents; rows that repeat a
-doc_id are not each other's smaller document; rows without doc_id neither lose bytes nor make others lose any; an empty
-table gives an empty result; other columns are not read.
+doc_id, with whatever texts, are not each other's smaller document, and each loses what smaller doc_ids have of its own text;
+rows without doc_id neither lose bytes nor make others lose any; any other doc_id, the least long too, is one as others are;
+an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +43,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, temporary, tidy
 from .shingles import mix
 
 SPAN, GRAM = 50, 24
@@ -45,7 +52,8 @@ PLACES = SPAN - GRAM + 1
 REACH = PLACES - 1
 #: Bytes of text hashed together, anchors or suffixes that a task gathers before it sends a run, bytes of text a range.
 CHUNK, GATHER, RUN, RANGE_BYTES = 1 << 20, 1 << 21, 1 << 18, 8 << 20
-MARK = -(1 << 63)
+#: A range is a number of so many bits at most, which is 16 exabytes of text; tasks that take them, one or several each.
+MOST_BITS, MOST_TASKS = 31, 1 << 17
 
 _rng = np.random.default_rng(104729)
 _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
@@ -154,14 +162,34 @@ def _tag(h: np.ndarray, bits: int) -> np.ndarray:
     return ((h >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
-_SENT = ["range", "doc_id", "a", "b", "run"]
-_SENT_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-SENT = "range int, doc_id long, a long, b long, run binary"
+#: Rows of an exchange: runs by range, and beside them rows of results that only pass through it.
+_TAGS, _SPANS = ["doc_id", "a", "b"], ["doc_id", "text_h", "a", "b"]
+_TAG_TYPES, _SPAN_TYPES = [pa.int64()] * 3, [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+TAGS, SPANS = "doc_id long, a long, b long", "doc_id long, text_h long, a int, b int"
+SENT_TAGS, SENT_SPANS = (f"range int, {x}, run binary" for x in (TAGS, SPANS))
+
+
+def _sent(names: list[str], types: list[pa.DataType], columns: Iterable) -> pa.RecordBatch:
+    return _batches(columns, ["range", *names, "run"], [pa.int32(), *types, pa.binary()])
+
+
+def _past(names: list[str], types: list[pa.DataType], bits: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Results as rows of an exchange, dealt to all ranges."""
+    for lo in range(0, len(columns[0]), 1 << 16):
+        part = [c[lo : lo + (1 << 16)] for c in columns]
+        n = len(part[0])
+        yield _sent(names, types, (np.arange(n) % (1 << bits), *part, [None] * n))
 
 
-def _elsewhere(n: int, bits: int) -> np.ndarray:
-    """Ranges for rows that only pass through the exchange."""
-    return np.arange(n) % (1 << bits)
+def _runs(names: list[str], types: list[pa.DataType], rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return _sent(names, types, ([r for r, _ in rows], *([None] * len(rows) for _ in names), [x for _, x in rows]))
+
+
+def _cuts(spot: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Each range of sorted ranges, and where it stands."""
+    starts = np.flatnonzero(np.diff(spot, prepend=-1))
+    for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(spot)]):
+        yield int(spot[lo]), slice(lo, hi)
 
 
 def seen(bits: int):
@@ -185,18 +213,14 @@ def seen(bits: int):
             many = np.repeat(count > 1, count)
             spot = (h >> np.uint64(64 - bits)).astype(np.int64)
             tag = _tag(h, bits)
-            for lo in range(0, int(many.sum()), 1 << 16):
-                k = np.flatnonzero(many)[lo : lo + (1 << 16)]
-                yield _batches((_elsewhere(len(k), bits), doc[k], spot[k], tag[k].astype(np.int64), [None] * len(k)), _SENT, _SENT_TYPES)
-            doc, tag, spot = np.where(many, MARK, doc)[first], tag[first], spot[first]
-            cuts = np.searchsorted(spot, np.arange((1 << bits) + 1))
+            yield from _past(_TAGS, _TAG_TYPES, bits, doc[many], spot[many], tag[many].astype(np.int64))
+            doc, tag, spot, told = doc[first], tag[first], spot[first], many[first]
             rows = []
-            for r in np.flatnonzero(np.diff(cuts)).tolist():
-                x = slice(cuts[r], cuts[r + 1])
+            for r, x in _cuts(spot):
                 own, at = np.unique(doc[x], return_inverse=True)
-                rows.append((r, None, None, None, pack(deltas(tag[x]), at.astype(np.uint16 if len(own) < 65536 else np.uint32), deltas(own))))
+                rows.append((r, pack(deltas(tag[x]), at.astype(np.uint16 if len(own) < 65536 else np.uint32), deltas(own), told[x].astype(np.uint8))))
             if rows:
-                yield _batches(zip(*rows), _SENT, _SENT_TYPES)
+                yield _runs(_TAGS, _TAG_TYPES, rows)
 
         for b in batches:
             for lo in range(0, b.num_rows, 256):
@@ -215,14 +239,15 @@ def seen(bits: int):
 
 
 def _by_range(batches: Iterator[pa.RecordBatch], names: list[str], types: list[pa.DataType], work) -> Iterator[pa.RecordBatch]:
-    """Passes rows without a run through as (doc_id, a, b), and gives ``work`` the runs of one range after the other."""
+    """Passes rows without a run through, and gives ``work`` the runs of one range after the other."""
     now, runs = None, []
     for x in batches:
-        free = x.filter(pa.compute.is_null(x.column(4)))
+        run = x.column(x.num_columns - 1)
+        free = x.filter(pa.compute.is_null(run))
         if free.num_rows:
-            yield pa.RecordBatch.from_arrays([free.column(k) for k in (1, 2, 3)], names)
-        bound = x.filter(pa.compute.is_valid(x.column(4)))
-        for r, value in zip(bound.column(0).to_pylist(), bound.column(4)):
+            yield pa.RecordBatch.from_arrays(free.columns[1:-1], names)
+        bound = x.filter(pa.compute.is_valid(run))
+        for r, value in zip(bound.column(0).to_pylist(), bound.column(x.num_columns - 1)):
             if r != now:
                 if runs:
                     for out in work(now, runs):
@@ -234,29 +259,27 @@ def _by_range(batches: Iterator[pa.RecordBatch], names: list[str], types: list[p
             yield _batches(out, names, types)
 
 
-def repeated():
+def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Task over runs of tags: (doc_id, range a, tag b) of the tags in two runs or more, with what passes through."""
 
     def work(spot: int, runs: list[bytes]) -> Iterator[tuple]:
         parts = [unpack(r) for r in runs]
-        tag = np.concatenate([np.cumsum(d, dtype=np.uint32) for d, _, _ in parts])
-        doc = np.concatenate([np.cumsum(own)[at] for _, at, own in parts])
+        tag = np.concatenate([np.cumsum(d, dtype=np.uint32) for d, _, _, _ in parts])
+        doc = np.concatenate([np.cumsum(own)[at] for _, at, own, _ in parts])
+        told = np.concatenate([t for _, _, _, t in parts]) > 0
         order = np.argsort(tag, kind="stable")
-        tag, doc = tag[order], doc[order]
+        tag, doc, told = tag[order], doc[order], told[order]
         twice = np.zeros(len(tag), bool)
         same = tag[1:] == tag[:-1]
         twice[1:] |= same
         twice[:-1] |= same
-        k = np.flatnonzero(twice & (doc != MARK))
+        k = np.flatnonzero(twice & ~told)
         k = k[np.argsort(doc[k], kind="stable")]
         for lo in range(0, len(k), 1 << 16):
             x = k[lo : lo + (1 << 16)]
             yield doc[x], np.full(len(x), spot), tag[x].astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _by_range(batches, ["doc_id", "a", "b"], [pa.int64()] * 3, work)
-
-    return run
+    return _by_range(batches, _TAGS, _TAG_TYPES, work)
 
 
 def merged_spans(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -272,6 +295,17 @@ def merged_spans(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.nd
     return doc[first], lo[first], reach[last] - doc[first] * far
 
 
+def _by_row(doc: np.ndarray, text_h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each different (doc_id, text hash), and of all places the number of theirs."""
+    order = np.lexsort((text_h, doc))
+    d, h = doc[order], text_h[order]
+    new = np.ones(len(d), bool)
+    new[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1])
+    number = np.empty(len(d), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
+
+
 def _words(rows: np.ndarray) -> list[np.ndarray]:
     """Rows of bytes as columns of big-endian words, of which the first weighs most."""
     return [w.astype(np.uint64) for w in rows.view(">u8").T]
@@ -285,49 +319,45 @@ def _shared(rows: np.ndarray) -> np.ndarray:
 
 
 def sorted_runs(bits: int):
-    """Task over (doc_id, text, tags): front-coded runs of suffixes by range; and covered spans (doc_id, from a, to b)."""
+    """Task over (doc_id, text_h, text, tags): front-coded runs of suffixes by range; and covered spans (doc_id, text_h, from a, to b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
 
         def sent() -> Iterator[pa.RecordBatch]:
-            doc, place, h, right, left, n_right, n_left = (np.concatenate(x) for x in zip(*held))
+            doc, text_h, place, h, right, left, n_right, n_left = (np.concatenate(x) for x in zip(*held))
             order = np.lexsort((doc, n_left, n_right, *_words(left)[::-1], *_words(right)[::-1], h))
-            doc, place, h, right, left, n_right, n_left = (x[order] for x in (doc, place, h, right, left, n_right, n_left))
+            doc, text_h, place, h, right, left, n_right, n_left = (x[order] for x in (doc, text_h, place, h, right, left, n_right, n_left))
             new = np.ones(len(doc), bool)
             new[1:] = (h[1:] != h[:-1]) | (n_right[1:] != n_right[:-1]) | (n_left[1:] != n_left[:-1]) | (right[1:] != right[:-1]).any(axis=1) | (left[1:] != left[:-1]).any(axis=1)
             first = np.flatnonzero(new)
             least = doc[first][np.cumsum(new) - 1]
             late = doc > least
             if late.any():
-                own, k = np.unique(doc[late], return_inverse=True)
+                own, k = _by_row(doc[late], text_h[late])
                 lo = place[late] - np.minimum(n_left[late], REACH)
                 hi = place[late] + np.minimum(n_right[late].astype(np.int64), SPAN)
                 k, lo, hi = merged_spans(k, lo, hi)
-                for at in range(0, len(k), 1 << 16):
-                    x = slice(at, at + (1 << 16))
-                    yield _batches((_elsewhere(len(k[x]), bits), own[k[x]], lo[x], hi[x], [None] * len(k[x])), _SENT, _SENT_TYPES)
+                yield from _past(_SPANS, _SPAN_TYPES, bits, doc[late][own][k], text_h[late][own][k], lo, hi)
             stay = ~late
-            doc, place, h, right, left, n_right, n_left = (x[stay] for x in (doc, place, h, right, left, n_right, n_left))
+            doc, text_h, place, h, right, left, n_right, n_left = (x[stay] for x in (doc, text_h, place, h, right, left, n_right, n_left))
             text = np.concatenate([h.astype(">u8").view(np.uint8).reshape(-1, 8), right[:, :SPAN]], axis=1)
-            spot = (h >> np.uint64(64 - bits)).astype(np.int64)
-            cuts = np.searchsorted(spot, np.arange((1 << bits) + 1))
             rows = []
-            for r in np.flatnonzero(np.diff(cuts)).tolist():
-                x = slice(cuts[r], cuts[r + 1])
+            for r, x in _cuts((h >> np.uint64(64 - bits)).astype(np.int64)):
                 shared = _shared(text[x])
                 rest = text[x][np.arange(text.shape[1]) >= shared[:, None]]
-                rows.append((r, None, None, None, pack(shared, rest, left[x][:, :REACH].ravel(), n_right[x], n_left[x], doc[x], place[x].astype(np.uint32))))
+                own, at = _by_row(doc[x], text_h[x])
+                rows.append((r, pack(shared, rest, left[x][:, :REACH].ravel(), n_right[x], n_left[x], deltas(doc[x][own]), text_h[x][own], at.astype(np.uint16 if len(own) < 65536 else np.uint32), place[x].astype(np.uint32))))
             if rows:
-                yield _batches(zip(*rows), _SENT, _SENT_TYPES)
+                yield _runs(_SPANS, _SPAN_TYPES, rows)
 
         for b in batches:
             for lo in range(0, b.num_rows, 128):
                 part = b.slice(lo, 128)
-                texts = _bytes(part.column(1).to_pylist())
+                texts = _bytes(part.column(2).to_pylist())
                 t, place, h = anchors(texts)
-                tags = part.column(2)
+                tags = part.column(3)
                 spots = np.searchsorted(t, np.arange(len(texts) + 1))
                 wanted = np.zeros(len(t), bool)
                 key = ((h >> np.uint64(64 - bits)) << np.uint64(32)) | _tag(h, bits).astype(np.uint64)
@@ -347,7 +377,7 @@ def sorted_runs(bits: int):
                 right[:, :SPAN] = np.where(steps < n_right[:, None], data[np.minimum(at[:, None] + steps, len(data) - 1)], 0)
                 steps = np.arange(REACH)
                 left[:, :REACH] = np.where(steps < n_left[:, None], data[np.maximum(at[:, None] - 1 - steps, 0)], 0)
-                held.append((part.column(0).to_numpy(zero_copy_only=False)[t], place, h, right, left, n_right.astype(np.uint8), n_left.astype(np.uint8)))
+                held.append((*(part.column(k).to_numpy(zero_copy_only=False)[t] for k in (0, 1)), place, h, right, left, n_right.astype(np.uint8), n_left.astype(np.uint8)))
                 size += len(t)
                 if size >= RUN:
                     yield from sent()
@@ -360,7 +390,7 @@ def sorted_runs(bits: int):
 
 
 class LoserTree:
-    """Merges sorted runs of byte strings. No comparison looks at bytes that are known to be shared.
+    """Merges sorted runs of byte strings of one length. No comparison looks at bytes that are known to be shared.
 
     A player is a run with its next string and the length of the prefix that this shares with the string it last lost to,
     or with the last winner. Of two players who met the same winner, the one that shares more with it is smaller; only
@@ -372,21 +402,14 @@ class LoserTree:
         self.shared = [r[1] for r in runs]
 
     @staticmethod
-    def prefix(a: bytes, b: bytes, at: int) -> int:
-        """The length of the common prefix of two different strings that share ``at`` bytes; one may end first."""
-        n = min(len(a), len(b))
-        while at + 8 <= n:
-            x = int.from_bytes(a[at : at + 8], "big") ^ int.from_bytes(b[at : at + 8], "big")
-            if x:
-                return at + 7 - (x.bit_length() - 1) // 8
-            at += 8
-        while at < n and a[at] == b[at]:
-            at += 1
-        return at
+    def compared(a: bytes, b: bytes, at: int) -> tuple[int, int]:
+        """Two strings of one length that share ``at`` bytes: below 0, 0 or above 0 as the first is less, equal or greater, and their common prefix."""
+        x, y = int.from_bytes(a[at:], "big"), int.from_bytes(b[at:], "big")
+        return x - y, len(a) - ((x ^ y).bit_length() + 7) // 8
 
     def merge(self) -> tuple[list[int], list[int], list[int]]:
         """The run and the place in it of each string in order, and the prefix each shares with the one before."""
-        texts, shared, prefix = self.texts, self.shared, self.prefix
+        texts, shared, compared = self.texts, self.shared, self.compared
         n = len(texts)
         width = 1 << max(n - 1, 0).bit_length()
         at = [0] * n
@@ -403,12 +426,8 @@ class LoserTree:
             x, y = know[a], know[b]
             if x != y:
                 return (a, b) if x > y else (b, a)
-            p, q = now[a], now[b]
-            if p == q:
-                know[max(a, b)] = len(p)
-                return (a, b) if a < b else (b, a)
-            common = prefix(p, q, x)
-            if p < q:
+            order, common = compared(now[a], now[b], x)
+            if order < 0 or order == 0 and a < b:
                 know[b] = common
                 return a, b
             know[a] = common
@@ -485,8 +504,8 @@ def covered(shared: np.ndarray, left: np.ndarray, n_right: np.ndarray, n_left: n
     return before, after
 
 
-def spans():
-    """Task over sorted runs of suffixes: covered spans (doc_id, from a, to b), with what passes through."""
+def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task over sorted runs of suffixes: covered spans (doc_id, text_h, from a, to b), with what passes through."""
 
     def work(_: int, runs: list[bytes]) -> Iterator[tuple]:
         parts = [unpack(r) for r in runs]
@@ -504,24 +523,23 @@ def spans():
         k = np.flatnonzero(pair)
         if not len(k):
             return
-        left, n_right, n_left, doc, place = (np.concatenate([p[j] if j > 2 else p[j].reshape(-1, REACH) for p in parts])[order[k]] for j in range(2, 7))
+        chosen = order[k]
+        left, n_right, n_left, place = (np.concatenate([p[j] if j > 2 else p[j].reshape(-1, REACH) for p in parts])[chosen] for j in (2, 3, 4, 8))
+        doc, text_h = (np.concatenate([own[p[7]] for own, p in zip(each, parts)])[chosen] for each in ([np.cumsum(p[5]) for p in parts], [p[6] for p in parts]))
         padded = np.zeros((len(k), 32), np.uint8)
         padded[:, :REACH] = left
         before, after = covered(np.where(near, right, 0)[k], padded, n_right.astype(np.int64), n_left.astype(np.int64), doc)
         hit = np.flatnonzero(after)
         if not len(hit):
             return
-        own, which = np.unique(doc[hit], return_inverse=True)
-        place = place[hit].astype(np.int64)
+        doc, text_h, place = doc[hit], text_h[hit], place[hit].astype(np.int64)
+        own, which = _by_row(doc, text_h)
         which, lo, hi = merged_spans(which, place - before[hit], place + after[hit])
         for x in range(0, len(which), 1 << 16):
             y = slice(x, x + (1 << 16))
-            yield own[which[y]], lo[y], hi[y]
+            yield doc[own[which[y]]], text_h[own[which[y]]], lo[y], hi[y]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _by_range(batches, ["doc_id", "a", "b"], [pa.int64()] * 3, work)
-
-    return run
+    return _by_range(batches, _SPANS, _SPAN_TYPES, work)
 
 
 def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -536,28 +554,35 @@ def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if pairs is None or not len(pairs):
                     out.append((text, len(text), 0))
                     continue
-                a, z = pairs.field(0).to_numpy(), pairs.field(1).to_numpy()
+                a, z = (pairs.field(k).to_numpy().astype(np.int64) for k in (0, 1))
                 _, a, z = merged_spans(np.zeros(len(a), np.int64), a, z)
                 stay = [text[p:q] for p, q in zip([0, *z.tolist()], [*a.tolist(), len(text)])]
                 out.append((b"".join(stay), len(text), len(a)))
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*out), [pa.binary(), pa.int64(), pa.int64()]))], ["doc_id", "kept", "n_bytes", "n_spans"])
 
 
+def range_bits(size: int) -> int:
+    """So many bits that a range has RANGE_BYTES of so many bytes of text, about."""
+    return max(3, min(MOST_BITS, (size // RANGE_BYTES).bit_length()))
+
+
 def removed_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, a, b): spans whose union in each document of (doc_id, text) is what is to be removed."""
+    """(doc_id, text_h, a, b): spans whose union in each row of (doc_id, text_h, text) is what is to be removed."""
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    bits = max(3, min(20, (size // RANGE_BYTES).bit_length()))
-    known = docs.where("doc_id is not null")
-    by_range = lambda df: df.repartition(1 << min(bits, 14), "range").sortWithinPartitions("range")
-    found = by_range(known.mapInArrow(seen(bits), SENT)).mapInArrow(repeated(), "doc_id long, a long, b long")
-    tags = found.groupBy("doc_id").agg(F.collect_set(F.shiftleft("a", 32).bitwiseOR(F.col("b"))).alias("tags"))
-    met = known.hint("merge").join(tags.hint("merge"), "doc_id")
-    return by_range(met.select("doc_id", "text", "tags").mapInArrow(sorted_runs(bits), SENT)).mapInArrow(spans(), "doc_id long, a long, b long")
+    bits = range_bits(size)
+    known = docs.where(f"doc_id is not null and octet_length(text) >= {SPAN}")
+    by_range = lambda df: df.repartition(min(1 << bits, MOST_TASKS), "range").sortWithinPartitions("range")
+    with temporary(docs.sparkSession):
+        found = by_range(known.select("doc_id", "text").mapInArrow(tidy(seen(bits)), SENT_TAGS)).mapInArrow(tidy(repeated), TAGS)
+        tags = cut(found.groupBy("doc_id").agg(F.collect_set(F.shiftleft("a", 32).bitwiseOR(F.col("b"))).alias("tags")))
+        met = known.hint("merge").join(tags.hint("merge"), "doc_id")
+        runs = met.select("doc_id", "text_h", "text", "tags").mapInArrow(tidy(sorted_runs(bits)), SENT_SPANS)
+        return cut(by_range(runs).mapInArrow(tidy(spans), SPANS), keep=True)
 
 
 def suffix_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, kept (binary), n_bytes, n_spans: one row per row of ``docs``."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    found = cut(removed_spans(rows))
-    by_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    return rows.join(by_doc, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(kept, "doc_id long, kept binary, n_bytes long, n_spans long")
+    body = F.col(text).cast("string")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(body).alias("text_h"), body.alias("text"))
+    by_row = removed_spans(rows).groupBy("doc_id", "text_h").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    return rows.join(by_row, ["doc_id", "text_h"], "left").select("doc_id", "text", "spans").mapInArrow(tidy(kept), "doc_id long, kept binary, n_bytes long, n_spans long")

@@ -6,12 +6,14 @@ from collections import defaultdict
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from tesseral.llm.common import cut, maybe_in
 from tesseral.llm.components import components
-from tesseral.llm.exact_dedup import exact_dedup
+from tesseral.llm.exact_dedup import exact_dedup, possibly_repeated
 from tesseral.llm.line_dedup import line_dedup
 from tesseral.llm.near_dedup import near_dedup
-from tesseral.llm.suffix_dedup import SPAN, LoserTree, anchors, front_decoded, pack, suffix_dedup, unpack
+from tesseral.llm.suffix_dedup import SPAN, LoserTree, anchors, front_decoded, pack, range_bits, suffix_dedup, unpack
 
 from .conftest import BASE, EDGES, docs
 
@@ -29,10 +31,25 @@ def test_exact_on_edges(edges):
         assert r.kept == (d == r.keep_id)
 
 
-def test_exact_survives_a_full_filter(spark, corpus):
+def test_exact_with_a_filter_too_large_to_broadcast(spark, corpus):
     table = docs(spark, corpus + [(d + 10**6, t) for d, t in corpus[::3]])
     key = lambda df: sorted(map(tuple, df.collect()))
-    assert key(exact_dedup(table, max_filter_bits=6)) == key(exact_dedup(table))
+    assert key(exact_dedup(table, max_words=0)) == key(exact_dedup(table))
+
+
+@pytest.mark.parametrize("n", [3_000, 300_000])
+def test_exact_shuffles_the_same_share_at_any_size(spark, n):
+    """One row in ten has an equal; the filter lets through these and few others, however many rows there are."""
+    rows = cut(spark.range(n).selectExpr("xxhash64(if(id % 10 = 0, id - id % 20, id)) AS h"))
+    assert 0.1 <= possibly_repeated(rows).where("maybe").count() / n < 0.115
+
+
+def test_filters_lose_nothing(spark):
+    rows = spark.range(20_000).selectExpr("id", "xxhash64(id) AS h")
+    keys = cut(rows.where("id % 50 = 0").select("h"))
+    met = {r.id for r in maybe_in(rows, F.col("h"), keys, F.col("h")).collect()}
+    assert met >= set(range(0, 20_000, 50)) and len(met) < 900
+    assert maybe_in(rows, F.col("h"), cut(keys.limit(0)), F.col("h")).count() == 0
 
 
 def test_exact_on_nothing(nothing):
@@ -190,6 +207,21 @@ def test_suffix_equals_brute_force(spark, corpus):
     assert got == brute_suffix(part)
 
 
+def test_suffix_tells_rows_of_a_doc_id_apart(spark):
+    """Texts of one doc_id are not each other's smaller document, and each loses what is its own."""
+    x, y, z = (" ".join(f"{c}{k * k}" for k in range(60)) for c in "xyz")
+    least = -(1 << 63)
+    table = [(1, x), (2, x), (2, y), (2, x), (3, y + z), (3, z + x), (least, z), (4, None), (4, z)]
+    got = sorted((r.doc_id, bytes(r.kept).decode(), r.n_bytes, r.n_spans) for r in suffix_dedup(docs(spark, table)).collect())
+    assert got == sorted([
+        (1, x, len(x), 0), (2, "", len(x), 1), (2, y, len(y), 0), (2, "", len(x), 1), (3, "", len(y + z), 1 if len(y + z) else 0), (3, "", len(z + x), 1), (least, z, len(z), 0), (4, "", 0, 0), (4, "", len(z), 1),
+    ])
+
+
+def test_suffix_ranges_have_no_ceiling():
+    assert [range_bits(n) for n in (0, 100 << 20, 1 << 43, 100 << 40, 1 << 60)] == [3, 4, 21, 24, 31]
+
+
 LONG_RUN = "".join(chr(97 + (k * k * 7 + k // 13) % 26) for k in range(3_000_000 // 2))
 
 
