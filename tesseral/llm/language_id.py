@@ -21,11 +21,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
+from .common import tidy
+
 RANKS = 300
 UNKNOWN = "und"
 #: Characters that a task takes together, and n-grams that it holds before it sends their counts on.
-SLICE_CHARS = 1 << 19
-HELD = 1 << 18
+SLICE_CHARS = 1 << 17
+HELD = 1 << 17
 
 _EDGE = 0x110000
 _BITS = np.int64(21)
@@ -110,7 +112,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", ranks: in
                     size = 0
         yield from sent()
 
-    sums = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sums = rows.mapInArrow(tidy(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     found = sums.withColumn("place", place).where(F.col("place") <= ranks).select("lang", "place", "gram").collect()
     out: dict[str, list[int]] = {}
@@ -164,7 +166,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text",
                 columns = [part.column(k) for k in rest]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -3,39 +3,52 @@
 Texts are cut into words (no piece has a word mark after another character, so no piece crosses a cut), and words that a
 task hasn't met before are encoded together by length: all words of a length advance one character at a time. At each end
 the hashes of the substrings that end there probe the sorted hashes of the pieces, and the best start is stored as the
-backpointer.
+backpointer. Words over LONG_WORD characters, such as whole texts without spaces, are cut further, between characters that
+stand side by side in no piece; parts that are long still take the same pass, those of like length together.
 
 What is best depends on the model. For unigram models it is the sum of scores. For BPE models that sum is not what
 the library computes, so a step is weighed by whether BPE, given the two pieces side by side, would leave them so: exactly
-one path has only such steps, and it is the library's. The answer for a pair of pieces is worked out once a worker.
+one path has only such steps, and it is the library's. The answer for a pair of pieces is remembered in a table of fixed size.
 
 Characters without a piece become byte pieces, or the unknown piece in models that have none.
 
+A worker holds the model (some 40 MB), WORDS words twice while a task runs, and a batch.
+
 Defined cases: null texts have null ids; the empty text has no ids; "▁" (U+2581) in a text reads back as a space, as
-it does in the library; other columns pass through; empty tables and repeated rows need nothing special.
+it does in the library; columns that have the names of results give way to them, all others pass through; empty tables and
+repeated rows need nothing special.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
+from .common import tidy
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Texts that a task takes together, and words (twice) and pairs that a worker remembers.
-SLICE, WORDS, PAIRS = 1024, 1 << 17, 1 << 19
+#: Texts and characters that a task takes together, and words (twice) that it remembers.
+SLICE, SLICE_CHARS, WORDS = 1024, 1 << 21, 1 << 16
 #: Ids that stand for no piece: the start of a word, a character without a piece, a place that no path reaches.
 START, NO_PIECE, UNREACHED = -1, -2, -3
-
-#: Words above this length are few, and advance alone.
+#: Words above this length are cut where no piece can cross.
 LONG_WORD = 96
+#: Characters of words that advance together, each word counted with as many more as a piece may have.
+CELLS = 1 << 18
+#: As a power of two, the pairs of pieces for which it is remembered whether BPE leaves them: 5 bytes each.
+PAIR_BITS = 22
+#: After the end of a word that is shorter than others of its batch.
+PAD = 0x110000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -53,15 +66,17 @@ class Model:
         #: By the high bits of a hash, whether any piece has it: most substrings are done with here.
         self.gate = np.zeros(1 << 20, bool)
         self.gate[(keys >> np.uint64(44)).astype(np.int64)] = True
-        self.slots, self.fits = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
+        #: The pairs of pieces that were asked for last, by their hash, and whether BPE leaves them.
+        self.slots = np.full(1 << PAIR_BITS, -1, np.int32 if len(pieces) ** 2 < 1 << 31 else np.int64)
+        self.fits = np.zeros(1 << PAIR_BITS, bool)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(plain, np.int64)[order]
         self.score = np.array(scores, np.float64)
         self.worst = float(self.score[plain].min() if plain else 0) - 10
-        self.by_text = {pieces[k]: k for k in plain}
+        #: Pairs of characters that stand side by side in some piece.
+        self.beside = np.unique(np.array([(ord(a) << 21) | ord(b) for k in plain for a, b in zip(pieces[k], pieces[k][1:])], np.int64))
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.pairs: dict[int, bool] = {}
         self.texts = [self._bytes(k, special) for k in range(len(pieces))]
         inner = any(MARK in pieces[k].lstrip(MARK) for k in plain)
         self.cut = re.compile("(?s:.+)" if inner else f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -125,7 +140,7 @@ class Model:
     def together(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether BPE leaves pieces as they are when they stand side by side."""
         key = left * np.int64(len(self.pieces)) + right
-        slot = ((key.astype(np.uint64) * _BASE) >> np.uint64(44)).astype(np.int64)
+        slot = ((key.astype(np.uint64) * _BASE) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
         out = self.fits[slot]
         new = np.flatnonzero(self.slots[slot] != key)
         if len(new):
@@ -136,37 +151,38 @@ class Model:
 
     def _together(self, key: np.ndarray) -> np.ndarray:
         each, back = np.unique(key, return_inverse=True)
-        new = [k for k in each.tolist() if k not in self.pairs]
-        if new:
-            if len(self.pairs) > PAIRS:
-                self.pairs.clear()
-                new = each.tolist()
-            by_length: dict[int, list[tuple[int, str, int]]] = defaultdict(list)
-            for k in new:
-                a, b = self.pieces[k // len(self.pieces)], self.pieces[k % len(self.pieces)]
-                by_length[len(a) + len(b)].append((k, a + b, len(a)))
-            for group in by_length.values():
-                ends = self.merged(np.array([[ord(c) for c in text] for _, text, _ in group], np.uint64))
-                self.pairs.update({k: e == [n, len(text)] for (k, text, n), e in zip(group, ends)})
-        return np.array([self.pairs[k] for k in each.tolist()], bool)[back]
-
-    def viterbi(self, words: list[str]) -> list[list[int]]:
-        """The ids of words of one length."""
-        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), -1).astype(np.uint64)
-        n, length = chars.shape
+        fits = np.zeros(len(each), bool)
+        by_length: dict[int, list[tuple[int, str, int]]] = defaultdict(list)
+        for at, k in enumerate(each.tolist()):
+            a, b = self.pieces[k // len(self.pieces)], self.pieces[k % len(self.pieces)]
+            by_length[len(a) + len(b)].append((at, a + b, len(a)))
+        for group in by_length.values():
+            ends = self.merged(np.array([[ord(c) for c in text] for _, text, _ in group], np.uint64))
+            for (at, text, n), e in zip(group, ends):
+                fits[at] = e == [n, len(text)]
+        return fits[back]
+
+    def viterbi(self, words: list[str]) -> list[bytes]:
+        """The ids, as bytes, of words of one length, or of like lengths: the shorter ones go on through PAD."""
+        sizes = [len(w) for w in words]
+        n, length = len(words), max(sizes)
+        chars = np.full((n, length), PAD, np.uint64)
+        chars[np.arange(length) < np.array(sizes)[:, None]] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         sums = self.hashes(chars)
-        back, last = np.zeros((n, length + 1), np.int32), np.full((n, length + 1), UNREACHED, np.int64)
+        back, last = np.zeros((n, length + 1), np.int32), np.full((n, length + 1), UNREACHED, np.int32)
         last[:, 0] = START
-        total = np.full((n, length + 1), -np.inf)
-        total[:, 0] = 0
+        total = np.full((n, length + 1), -np.inf) if not self.bpe else None
+        if total is not None:
+            total[:, 0] = 0
+        rows = np.arange(n)
         for end in range(1, length + 1):
             starts = np.arange(max(0, end - self.longest), end)
             lo = np.tile(starts, (n, 1))
             ids = self.find(sums, lo, np.full_like(lo, end))
-            before = last[:, starts]
+            before = last[:, starts].astype(np.int64)
             there = (before != UNREACHED) & (ids >= 0)
             there[:, -1] |= before[:, -1] != UNREACHED  # a character without a piece
-            if self.bpe:
+            if total is None:
                 asked = there & (ids >= 0) & (before >= 0)
                 if asked.any():
                     there[asked] = self.together(before[asked], ids[asked])
@@ -174,71 +190,69 @@ class Model:
             else:
                 weight = np.where(there, total[:, starts] + np.where(ids >= 0, self.score[np.maximum(ids, 0)], self.worst), -np.inf)
             best = weight.argmax(axis=1)
-            rows = np.arange(n)
             good = weight[rows, best] > -np.inf
             back[:, end] = starts[best]
-            total[:, end] = weight[rows, best]
+            if total is not None:
+                total[:, end] = weight[rows, best]
             last[:, end] = np.where(good, ids[rows, best], UNREACHED)
-        out = []
-        for word, b, p in zip(words, back.tolist(), last.tolist()):
-            at, ids = length, []
-            while at:
-                ids.append(p[at] if p[at] >= 0 else -1 - ord(word[at - 1]))
-                at = b[at]
-            out.append([x for k in reversed(ids) for x in ([k] if k >= 0 else self.spelt(-1 - k))])
-        return out
-
-    def alone(self, word: str) -> list[int]:
-        """The ids of one word that is too long to be worth a batch: the same pass, a character at a time."""
-        back, last, total = [0] * (len(word) + 1), [UNREACHED] * (len(word) + 1), [0.0] * (len(word) + 1)
-        last[0] = START
-        many, pairs = len(self.pieces), self.pairs
-        for end in range(1, len(word) + 1):
-            best = -np.inf
-            for start in range(max(0, end - self.longest), end):
-                before = last[start]
-                piece = self.by_text.get(word[start:end], NO_PIECE)
-                if before == UNREACHED or piece == NO_PIECE and start < end - 1:
-                    continue
-                if not self.bpe:
-                    weight = total[start] + (self.score[piece] if piece >= 0 else self.worst)
-                elif piece >= 0 and before >= 0:
-                    fits = pairs.get(before * many + piece)
-                    if fits is None:
-                        fits = bool(self.together(np.array([before]), np.array([piece]))[0])
-                    weight = 0.0 if fits else -np.inf
-                else:
-                    weight = 0.0
-                if weight > best:
-                    best, back[end], last[end], total[end] = weight, start, piece, weight
-        out, at = [], len(word)
-        while at:
-            out.append([last[at]] if last[at] >= 0 else self.spelt(ord(word[at - 1])))
-            at = back[at]
-        return [k for part in reversed(out) for k in part]
+        return self.traced(chars, np.array(sizes), back, last)
+
+    def traced(self, chars: np.ndarray, at: np.ndarray, back: np.ndarray, last: np.ndarray) -> list[bytes]:
+        """The ids along the backpointers, of all words a step at a time from their ends."""
+        rows, steps = np.arange(len(at)), []
+        while at.any():
+            ids = last[rows, at]
+            # START fills what is before a word's first piece; a character without a piece is its code, from UNREACHED down
+            steps.append(np.where(at == 0, START, np.where(ids >= 0, ids, UNREACHED - chars[rows, at - 1].astype(np.int32))))
+            at = back[rows, at]
+        made = np.stack(steps[::-1], axis=1)
+        there = made != START
+        ids, ends = made[there].astype(np.int32), np.cumsum(there.sum(axis=1))
+        bounds = [0, *ends.tolist()]
+        if (ids >= 0).all():
+            data = ids.tobytes()
+            return [data[4 * a : 4 * b] for a, b in zip(bounds, bounds[1:])]
+        spell = lambda part: [x for k in part for x in ([k] if k >= 0 else self.spelt(UNREACHED - k))]
+        return [np.array(spell(ids[a:b].tolist()), np.int32).tobytes() for a, b in zip(bounds, bounds[1:])]
+
+    def parts(self, word: str) -> list[str]:
+        """A word, cut where two characters stand side by side in no piece if it is long."""
+        if len(word) <= LONG_WORD:
+            return [word]
+        chars = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        pair = (chars[:-1] << 21) | chars[1:]
+        at = np.minimum(np.searchsorted(self.beside, pair), max(0, len(self.beside) - 1))
+        free = self.beside[at] != pair if len(self.beside) else np.ones(len(pair), bool)
+        ends = [*(np.flatnonzero(free) + 1).tolist(), len(word)]
+        return [word[a:b] for a, b in zip([0, *ends], ends)]
 
     def spelt(self, char: int) -> list[int]:
         return [self.bytes[b] for b in chr(char).encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
         cut = [self.cut.findall((MARK if self.prefix else "") + t.replace(" ", MARK)) if t else [] for t in texts]
+        cut = [c if not c or len(max(c, key=len)) <= LONG_WORD else [p for w in c for p in self.parts(w)] for c in cut]
         if len(self.words) > WORDS:
             self.words, self.older = {}, self.words
-        by_length: dict[int, list[str]] = defaultdict(list)
+        new = []
         for word in {w for c in cut for w in c}:
             if word not in self.words:
                 if word in self.older:
                     self.words[word] = self.older[word]
                 else:
-                    by_length[len(word)].append(word)
-        for length, group in by_length.items():
-            if length > LONG_WORD:
-                self.words.update((w, np.array(self.alone(w), np.int32).tobytes()) for w in group)
-                continue
-            step = max(1, (1 << 18) // (length + 16))
-            for lo in range(0, len(group), step):
-                part = group[lo : lo + step]
-                self.words.update((w, np.array(ids, np.int32).tobytes()) for w, ids in zip(part, self.viterbi(part)))
+                    new.append(word)
+        new.sort(key=len)
+        lo = 0
+        while lo < len(new):
+            # equal lengths, or beyond LONG_WORD lengths that differ by an eighth at most, in so many cells
+            longest = len(new[lo]) + (len(new[lo]) // 8 if len(new[lo]) > LONG_WORD else 0)
+            most = max(1, CELLS // (longest + 16))
+            hi = lo + 1
+            while hi < len(new) and hi - lo < most and len(new[hi]) <= longest:
+                hi += 1
+            part = new[lo:hi]
+            self.words.update(zip(part, self.viterbi(part)))
+            lo = hi
         return [None if t is None else np.frombuffer(b"".join(map(self.words.__getitem__, c)), np.int32) for t, c in zip(texts, cut)]
 
     def forget(self) -> None:
@@ -250,53 +264,109 @@ class Model:
         return data[1 if self.prefix and data[:1] == b" " else 0 :].decode("utf-8", "replace")
 
 
+def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of each field of a protocol buffer message: an integer, or bytes of a string, message or float."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            out |= (byte & 127) << shift
+            if byte < 128:
+                return out
+            shift += 7
+
+    while at < len(data):
+        key = number()
+        kind = key & 7
+        if kind == 0:
+            yield key >> 3, number()
+            continue
+        size = {1: 8, 5: 4}.get(kind) or number()
+        yield key >> 3, data[at : at + size]
+        at += size
+
+
+#: Kinds of pieces, the type of a BPE model, and the numbers of fields in a model file.
+NORMAL, UNKNOWN, USER_DEFINED, BYTE, BPE = 1, 2, 4, 6, 2
+PIECE, TRAINER, NORMALIZER = 1, 2, 3
+TEXT, SCORE, KIND, MODEL_TYPE, RULE, PREFIX, TRIMS = 1, 2, 3, 3, 1, 3, 4
+
+
 @cache
 def load(path: str) -> Model:
-    from sentencepiece import sentencepiece_model_pb2
-
-    proto = sentencepiece_model_pb2.ModelProto()
+    """The model in a file, read without the library, whose message classes would stay in every worker."""
     with open(path, "rb") as f:
-        proto.ParseFromString(f.read())
-    kind = sentencepiece_model_pb2.ModelProto.SentencePiece
-    plain = (kind.NORMAL, kind.USER_DEFINED)
-    byte_ids = {int(p.piece[3:5], 16): k for k, p in enumerate(proto.pieces) if p.type == kind.BYTE}
-    unknown = next((k for k, p in enumerate(proto.pieces) if p.type == kind.UNKNOWN), 0)
-    special = {k for k, p in enumerate(proto.pieces) if p.type not in plain}
-    if proto.normalizer_spec.name not in ("identity", "") or proto.normalizer_spec.remove_extra_whitespaces:
-        raise ValueError(f"normalization {proto.normalizer_spec.name!r} isn't supported")
-    return Model([p.piece for p in proto.pieces], [p.score for p in proto.pieces], byte_ids, special, proto.trainer_spec.model_type == 2, proto.normalizer_spec.add_dummy_prefix, unknown)
+        data = f.read()
+    pieces, scores, kinds = [], [], []
+    trainer, normalizer = {MODEL_TYPE: 1}, {RULE: b"", PREFIX: 1, TRIMS: 1}
+    for number, value in fields(data):
+        if number == PIECE:
+            piece = {TEXT: b"", SCORE: bytes(4), KIND: NORMAL} | dict(fields(value))
+            pieces.append(piece[TEXT].decode())
+            scores.append(struct.unpack("<f", piece[SCORE])[0])
+            kinds.append(piece[KIND])
+        elif number == TRAINER:
+            trainer |= dict(fields(value))
+        elif number == NORMALIZER:
+            normalizer |= dict(fields(value))
+    byte_ids = {int(p[3:5], 16): k for k, (p, kind) in enumerate(zip(pieces, kinds)) if kind == BYTE}
+    unknown = next((k for k, kind in enumerate(kinds) if kind == UNKNOWN), 0)
+    special = {k for k, kind in enumerate(kinds) if kind not in (NORMAL, USER_DEFINED)}
+    if normalizer[RULE] not in (b"identity", b"") or normalizer[TRIMS]:
+        raise ValueError(f"normalization {normalizer[RULE].decode()!r} isn't supported")
+    return Model(pieces, scores, byte_ids, special, trainer[MODEL_TYPE] == BPE, bool(normalizer[PREFIX]), unknown)
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Half-open ranges of texts, of SLICE texts or about SLICE_CHARS characters."""
+    lo = size = 0
+    for k, n in enumerate(pa.compute.binary_length(texts).fill_null(0).to_pylist()):
+        if k > lo and (k - lo == SLICE or size + n > SLICE_CHARS):
+            yield lo, k
+            lo, size = k, 0
+        size += n
+    if lo < len(texts):
+        yield lo, len(texts)
 
 
 def encode(docs: DataFrame, text: str = "text", ids: str = "ids", model: str = MODEL, decoded: str | None = None) -> DataFrame:
     """``docs`` with the ids of a text column in the place of that column; ``decoded`` names a column for the ids' text,
-    made in the same pass."""
+    made in the same pass. Columns of ``docs`` that have these names go."""
     place = docs.columns.index(text)
-    schema = StructType([f for k, f in enumerate(docs.schema) if k != place]).add(ids, ArrayType(IntegerType()))
+    rest = [k for k, c in enumerate(docs.columns) if k != place and c not in (ids, decoded)]
+    schema = StructType([docs.schema[k] for k in rest]).add(ids, ArrayType(IntegerType()))
     if decoded:
         schema = schema.add(decoded, StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load(model)
-        for b in batches:
-            for lo in range(0, b.num_rows, SLICE):
-                part = b.slice(lo, SLICE)
-                found = coder.encode(part.column(place).to_pylist())
-                offsets = np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in found])]).astype(np.int32)
-                values = np.concatenate([x for x in found if x is not None] or [np.zeros(0, np.int32)])
-                mask = pa.array([x is None for x in found], pa.bool_())
-                made = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=mask)]
-                if decoded:
-                    made.append(pa.array([None if x is None else coder.decode(x) for x in found], pa.string()))
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(part.num_columns) if k != place), *made], schema.names)
-        coder.forget()
-
-    return docs.mapInArrow(run, schema)
+        try:
+            for b in batches:
+                for lo, hi in _slices(b.column(place)):
+                    part = b.slice(lo, hi - lo)
+                    found = coder.encode(part.column(place).to_pylist())
+                    offsets = np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in found])]).astype(np.int32)
+                    values = np.concatenate([x for x in found if x is not None] or [np.zeros(0, np.int32)])
+                    mask = pa.array([x is None for x in found], pa.bool_())
+                    made = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=mask)]
+                    if decoded:
+                        made.append(pa.array([None if x is None else coder.decode(x) for x in found], pa.string()))
+                    yield pa.RecordBatch.from_arrays([*(part.column(k) for k in rest), *made], schema.names)
+        finally:
+            coder.forget()
+
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def decode(docs: DataFrame, ids: str = "ids", text: str = "decoded", model: str = MODEL) -> DataFrame:
-    """``docs`` with the text of an ids column beside it."""
+    """``docs`` with the text of an ids column beside it, in the place of a column that has its name."""
     place = docs.columns.index(ids)
-    schema = StructType([*docs.schema]).add(text, StringType())
+    rest = [k for k, c in enumerate(docs.columns) if c != text]
+    schema = StructType([docs.schema[k] for k in rest]).add(text, StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load(model)
@@ -305,6 +375,6 @@ def decode(docs: DataFrame, ids: str = "ids", text: str = "decoded", model: str
                 part = b.slice(lo, SLICE)
                 lists = [x.values for x in part.column(place)]
                 texts = [None if x is None else coder.decode(x.to_numpy(zero_copy_only=False)) for x in lists]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], schema.names)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in rest), pa.array(texts, pa.string())], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

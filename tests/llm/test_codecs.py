@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tesseral.llm.chat_format import CONTROLS, MARKS, RANKS, assemble, encode_turns, escape, format_chat, parse, read_back, render, reserved, unescape
-from tesseral.llm.sentencepiece_codec import MARK, MODEL, Model, decode, encode, load
+from tesseral.llm.sentencepiece_codec import LONG_WORD, MARK, MODEL, Model, decode, encode, load
 
 from .conftest import EDGES
 
@@ -72,6 +72,37 @@ def test_ids_are_the_librarys(corpus):
     assert [load(MODEL).decode(x) for x in mine] == [t.replace(MARK, " ") for t in some]
 
 
+def test_long_words_take_the_same_pass():
+    """Texts without spaces, alone and beside others: cut where no piece can cross, and whole where they can't be cut."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    some = ["a" * 3000, "日本語テキスト" * 400, "x1y2" * 700, "ThequickbrownfoxJumpsOver" * 80, "".join(chr(97 + k * k % 26) for k in range(2500)), "the" * 33 + " " + "ing" * 40, "é" * 97, "z" * 97, "z" * 96]
+    model = load(MODEL)
+    assert max(len(p) for p in model.parts("▁" + "日本語テキスト" * 400)) < LONG_WORD
+    assert model.parts("a" * 300) == ["a" * 300]
+    assert [x.tolist() for x in model.encode(some)] == library.encode(some)
+    model.forget()
+    for t in some:
+        assert model.encode([t])[0].tolist() == library.encode(t)
+
+
+def test_results_take_the_place_of_columns_with_their_names(spark):
+    table = spark.createDataFrame([(1, "some text", 5, "x")], "doc_id long, text string, ids int, decoded string")
+    out = encode(table, decoded="decoded")
+    assert out.columns == ["doc_id", "ids", "decoded"] and out.first().decoded == "some text"
+    assert decode(encode(table)).columns == ["doc_id", "ids", "decoded"] and decode(encode(table)).first().decoded == "some text"
+
+
+def test_the_model_file_is_read_as_the_library_reads_it():
+    import sentencepiece
+
+    library, model = sentencepiece.SentencePieceProcessor(model_file=MODEL), load(MODEL)
+    assert model.pieces == [library.id_to_piece(k) for k in range(library.get_piece_size())]
+    assert model.score.tolist() == [library.get_score(k) for k in range(library.get_piece_size())]
+    assert model.bpe and sorted(model.bytes) == list(range(256)) and model.unknown == library.unk_id()
+
+
 def test_columns(edges, nothing):
     back = decode(encode(edges))
     assert back.columns == [*[c for c in edges.columns if c != "text"], "ids", "decoded"]
