@@ -105,6 +105,17 @@ def trim() -> None:
         pass
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores as keep it apart from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
     """Inner join of ``rows`` with one row per key in ``groups``; null keys are equal.
 
@@ -150,3 +161,22 @@ def maybe_in(rows: DataFrame, h: Column, keys: DataFrame, key_h: Column) -> Data
     marks = F.broadcast(bloom(keys, key_h, words).withColumnsRenamed({"word": "_word", "mask": "_mask"}))
     met = rows.withColumns({"_word": F.pmod(h, F.lit(words)), "_bits": filter_mask(h)}).join(marks, "_word")
     return met.where(F.col("_mask").bitwiseAND(F.col("_bits")) == F.col("_bits")).select(*rows.columns)
+
+
+def without(rows: DataFrame, key: Column, gone: DataFrame, name: str) -> DataFrame:
+    """The rows whose string ``key`` is not in the column ``name`` of ``gone`` (a written table); those with a null key stay.
+
+    A filter that is broadcast tells most rows to be none of them, and only the others meet the table; where there are too many
+    keys for that all rows do.
+    """
+    words = filter_words(gone.count())
+    k, w, b, m = free_names(rows, "key", "word", "bits", "mask")
+    own = [F.col(f"`{c}`") for c in rows.columns]
+    meet = lambda df: df.join(gone.select(F.col(name).alias(k)), k, "left_anti").select(*own)
+    marked = rows.withColumn(k, key)
+    if words > MAX_WORDS:
+        return meet(marked)
+    marks = F.broadcast(bloom(gone, F.xxhash64(name), words).withColumnsRenamed({"word": w, "mask": m}))
+    tested = marked.withColumns({w: F.pmod(F.xxhash64(k), F.lit(words)), b: filter_mask(F.xxhash64(k))}).join(marks, w, "left")
+    maybe = F.coalesce(F.col(m).bitwiseAND(F.col(b)) == F.col(b), F.lit(False)) & F.col(k).isNotNull()
+    return tested.where(~maybe).select(*own).unionByName(meet(tested.where(maybe)))

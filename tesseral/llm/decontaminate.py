@@ -1,13 +1,18 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
-A benchmark item is small and a document large, so the items are sketched and the documents probed. Items are partitioned
-by size (powers of two of their distinct word 5-grams); a document is held only against the classes that it is long enough
-for. An item's sketch is its smallest hashes, one more than the number of its shingles that a document may lack: a
-document with the asked containment has at least one of them, whatever its length, so the search loses nothing.
-Candidates are verified by exact containment of the shingles' words.
+A benchmark item is small and a document large, so signatures are made for containment, not for resemblance. An item's
+signature is its bottom-k MinHash: the k smallest hashes of its distinct word 5-grams, k being one more than the number that a
+document may lack. It has to be met at least once by a document with the asked containment, whatever the document's length, so
+the search loses nothing. Items are partitioned by size (powers of two of their shingles), and a document is a candidate for an item only if it is
+long enough for the item's class.
 
-The items are the query set. They travel to the tasks in blocks of at most BLOCK_BYTES of text, each a pass of its own over
-the documents, so what a task holds is bounded; the documents are never shuffled.
+One scan of the documents does the search: each task hashes a document's shingles and holds them against two Bloom filters, one
+of all signatures, one of all shingles of items. Of a document that meets a signature the shingles that pass are sent on, with
+their words. They are joined with the table of the items' shingles by hash and words, and a candidate is verified by counting
+distinct shingles, words and all: exact containment. Both sides of the join are plain tables, of which Spark splits hot keys.
+
+What reaches the driver are the filters, of MAX_WORDS words of 64 bits at most (beyond some eight million shingles of items more
+shingles pass by chance, and the join settles them), and the numbers of words that shingles have.
 
 Defined cases: words are runs of ASCII letters and digits and characters beyond ASCII, in lower case; an item of fewer
 than five words is one shingle of that many words; items and documents without words match nothing; empty tables give
@@ -17,142 +22,166 @@ empty results; repeated rows are each reported; null ids are kept. Columns other
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shingles import grams, word_hashes
+from .common import MAX_WORDS, cut, filter_words, temporary, tidy, without
+from .shingles import grams, mix, word_hashes
 
 GRAM = 5
 CONTAINMENT = 0.8
-BLOCK_BYTES = 8 << 20
-#: Texts that a task takes together.
-SLICE = 256
+#: Texts and characters that a task takes together, and rows that it sends at once.
+SLICE, SLICE_CHARS, SENT = 256, 1 << 20, 1 << 14
 
 _SPLIT = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
+_BITS = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str | None) -> list[bytes]:
     return text.lower().encode().translate(_SPLIT).split() if text else []
 
 
-class Index:
-    """Sketches and full shingle sets of a block of items."""
-
-    def __init__(self, items: list[tuple[int | None, str]], containment: float) -> None:
-        self.containment, self.ids, self.sets, self.n = containment, [], [], []
-        spots: dict[tuple[int, int], dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for item, text in items:
-            w = words(text)
-            if not w:
-                continue
-            n = min(GRAM, len(w))
-            k = len(self.ids)
-            self.ids.append(item)
-            self.n.append(n)
-            self.sets.append(set(zip(*(w[j:] for j in range(n)))))
-            h = np.unique(grams(*word_hashes([w]), n)[0])
-            size = len(self.sets[k])
-            lacks = int((1 - containment) * size + 1e-9)
-            for x in h[: lacks + 1].tolist():
-                spots[n, size.bit_length()][x].append(k)
-        #: For each n: for each size class the fewest shingles of a match, the sorted sketch hashes, the items of each.
-        self.classes: dict[int, list[tuple[int, np.ndarray, list[list[int]]]]] = defaultdict(list)
-        for (n, bits), found in sorted(spots.items()):
-            least = int(np.ceil(containment * (1 << (bits - 1)) - 1e-9))
-            keys = np.array(sorted(found), np.uint64)
-            self.classes[n].append((least, keys, [found[x] for x in keys.tolist()]))
-        #: By the low bits of a hash, whether any sketch has it: nearly all shingles end here.
-        self.gate = {n: np.zeros(1 << 20, bool) for n in self.classes}
-        for n, parts in self.classes.items():
-            for _, keys, _ in parts:
-                self.gate[n][(keys & np.uint64(0xFFFFF)).astype(np.int64)] = True
-
-    def search(self, texts: list[str | None]) -> list[tuple[int, int, int]]:
-        """(text, item, shared shingles) for each item of which a text holds enough."""
-        split = [words(t) for t in texts]
-        hashed = word_hashes(split)
-        asked: dict[int, set[int]] = defaultdict(set)
-        for n, parts in self.classes.items():
-            h, starts = grams(*hashed, n)
-            at = np.flatnonzero(self.gate[n][(h & np.uint64(0xFFFFF)).astype(np.int64)])
-            if not len(at):
-                continue
-            passed, of = h[at], np.searchsorted(starts, at, "right") - 1
-            long = np.diff(starts)[of]
-            for least, keys, items in parts:
-                k = np.minimum(np.searchsorted(keys, passed), len(keys) - 1)
-                for j in np.flatnonzero((keys[k] == passed) & (long >= least)):
-                    asked[int(of[j])].update(items[k[j]])
-        out = []
-        for t, items in sorted(asked.items()):
-            have = {n: set(zip(*(split[t][j:] for j in range(n)))) for n in {self.n[k] for k in items}}
-            for k in sorted(items):
-                shared = len(self.sets[k] & have[self.n[k]])
-                if shared >= self.containment * len(self.sets[k]) - 1e-9:
-                    out.append((t, k, shared))
-        return out
-
-
-def blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int | None, str]]]:
-    """The items, in blocks of at most BLOCK_BYTES or one item."""
-    block, size = [], 0
-    rows = benchmark.where(F.length(text) > 0).select(F.col(item_id).cast("long"), F.col(text).cast("string"))
-    for item, body in rows.toLocalIterator():
-        if block and size + len(body.encode()) > BLOCK_BYTES:
-            yield block
-            block, size = [], 0
-        block.append((item, body))
-        size += len(body.encode())
-    if block:
-        yield block
+def fewest(size: int, containment: float) -> int:
+    """The shared shingles that an item of this size asks for."""
+    return int(np.ceil(containment * size - 1e-9))
 
 
-def contained(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """doc_id, item_id, n_shared, n_item, containment: a row for each document and item of which it holds enough."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    schema = "doc_id long, item_id long, n_shared long, n_item long, containment double"
+def shingle_table(benchmark: DataFrame, containment: float, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """item (a number for each row), item_id, n (words of a shingle), n_item, least (of the size class), h, words, signed: the distinct shingles of each item."""
+    schema = "item long, item_id long, n int, n_item long, least long, h long, words binary, signed boolean"
 
-    def search(block: list[tuple[int | None, str]]):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(block, containment)
-            for b in batches:
-                for lo in range(0, b.num_rows, SLICE):
-                    part = b.slice(lo, SLICE)
-                    ids = part.column(0).to_pylist()
-                    found = index.search(part.column(1).to_pylist())
-                    if found:
-                        got = [(ids[t], index.ids[k], n, len(index.sets[k]), n / len(index.sets[k])) for t, k, n in found]
-                        types = [pa.int64()] * 4 + [pa.float64()]
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), types)], ["doc_id", "item_id", "n_shared", "n_item", "containment"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for item, key, body in zip(*(c.to_pylist() for c in b.columns)):
+                w = words(body)
+                if not w:
+                    continue
+                n = min(GRAM, len(w))
+                sets = list(dict.fromkeys(b" ".join(w[j : j + n]) for j in range(len(w) - n + 1)))
+                h = grams(*word_hashes([s.split() for s in sets]), n)[0]
+                size = len(sets)
+                signed = np.zeros(size, bool)
+                signed[np.argsort(h, kind="stable")[: size - fewest(size, containment) + 1]] = True
+                least = fewest(1 << (size.bit_length() - 1), containment)
+                one = lambda x, t: pa.array([x] * size, t)  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays(
+                    [one(item, pa.int64()), one(key, pa.int64()), one(n, pa.int32()), one(size, pa.int64()), one(least, pa.int64()), pa.array(h.view(np.int64)), pa.array(sets, pa.binary()), pa.array(signed)],
+                    ["item", "item_id", "n", "n_item", "least", "h", "words", "signed"],
+                )
 
-        return run
+    rows = benchmark.where(F.length(text) > 0).select(F.monotonically_increasing_id().alias("item"), F.col(item_id).cast("long").alias("item_id"), F.col(text).cast("string").alias("text"))
+    return cut(rows.mapInArrow(tidy(run), schema))
 
-    parts = [rows.mapInArrow(search(block), schema) for block in blocks(benchmark, item_id, item_text)]
-    return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], schema)
 
+class Gate:
+    """A Bloom filter of hashes as numpy words: three bits of one word each."""
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT, text: str = "text", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """``docs`` without the rows whose text holds enough of an item."""
-    place = docs.columns.index(text)
+    def __init__(self, size: int) -> None:
+        self.words = np.zeros(size, np.uint64)
+
+    @staticmethod
+    def bits(h: np.ndarray) -> np.ndarray:
+        x = mix(h ^ _BITS)
+        one = np.uint64(1)
+        return (one << (x & np.uint64(63))) | (one << ((x >> np.uint64(6)) & np.uint64(63))) | (one << ((x >> np.uint64(12)) & np.uint64(63)))
+
+    def at(self, h: np.ndarray) -> np.ndarray:
+        return (h & np.uint64(len(self.words) - 1)).astype(np.int64)
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        bits = self.bits(h)
+        return (self.words[self.at(h)] & bits) == bits
+
+    @staticmethod
+    def of(hashes: DataFrame, most: int = MAX_WORDS) -> Gate:
+        """Of all rows (h): tasks make masks, which are combined by word; the driver gets the words."""
+        size = min(most, filter_words(hashes.count()))
+        gate = Gate(size)
 
-    def keep(block: list[tuple[int | None, str]]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(block, containment)
+            empty = Gate(1)
+            empty.words = np.broadcast_to(np.uint64(0), size)
             for b in batches:
-                for lo in range(0, b.num_rows, SLICE):
-                    part = b.slice(lo, SLICE)
-                    stays = np.ones(part.num_rows, bool)
-                    stays[[t for t, _, _ in index.search(part.column(place).to_pylist())]] = False
-                    yield part.filter(pa.array(stays))
+                h = b.column(0).to_numpy().view(np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(empty.at(h)), pa.array(Gate.bits(h).view(np.int64))], ["word", "bits"])
+
+        made = hashes.mapInArrow(tidy(run), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("mask")).toArrow()
+        gate.words[made.column(0).to_numpy()] = made.column(1).to_numpy().view(np.uint64)
+        return gate
+
+
+def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    lo = size = 0
+    for k, t in enumerate(texts):
+        if k > lo and (k - lo == SLICE or size + len(t or "") > SLICE_CHARS):
+            yield lo, k
+            lo, size = k, 0
+        size += len(t or "")
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
+def met(rows: DataFrame, kinds: list[int], signed: Gate, known: Gate) -> DataFrame:
+    """row, doc_id, text_key, size, n, h, words: of each row (doc_id, text_key, text) that meets a signature, the distinct shingles
+    that items may have. size: the row's shingles of that many words."""
+    names = ["row", "doc_id", "text_key", "size", "n", "h", "words"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held = TaskContext.get().partitionId() << 40, []
+        for b in batches:
+            ids, keys, texts = (c.to_pylist() for c in b.columns)
+            for lo, hi in _slices(texts):
+                split = [words(t) for t in texts[lo:hi]]
+                hashed = word_hashes(split)
+                for n in kinds:
+                    h, starts = grams(*hashed, n)
+                    near = np.flatnonzero(signed.has(h))
+                    if not len(near):
+                        continue
+                    asked = np.unique(np.searchsorted(starts, near, "right") - 1)
+                    for t in asked.tolist():
+                        own = h[starts[t] : starts[t + 1]]
+                        found = {}
+                        for j in np.flatnonzero(known.has(own)).tolist():
+                            found.setdefault(b" ".join(split[t][j : j + n]), int(own[j].view(np.int64)))
+                        held += [(number + lo + t, ids[lo + t], keys[lo + t], len(own), n, x, w) for w, x in found.items()]
+                        if len(held) >= SENT:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), types)], names)
+                            held = []
+            number += b.num_rows
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), types)], names)
+
+    return rows.mapInArrow(tidy(run), "row long, doc_id long, text_key string, size long, n int, h long, words binary")
+
+
+def search(rows: DataFrame, items: DataFrame, containment: float) -> DataFrame:
+    """doc_id, text_key, item_id, n_shared, n_item: a row for each row of (doc_id, text_key, text) and item of which it holds enough."""
+    kinds = sorted(r.n for r in items.select("n").distinct().collect())
+    signed, known = (Gate.of(x.select("h").distinct()) for x in (items.where("signed"), items))
+    shared = met(rows, kinds, signed, known).join(items, ["n", "h", "words"]).where("size >= least")
+    counted = shared.groupBy("row", "item").agg(*[F.first(c).alias(c) for c in ("doc_id", "text_key", "item_id", "n_item")], F.count(F.lit(1)).alias("n_shared"), F.max("signed").alias("signed"))
+    return counted.where(F.col("signed") & (F.col("n_shared") >= F.lit(containment) * F.col("n_item") - 1e-9)).select("doc_id", "text_key", "item_id", "n_shared", "n_item")
+
+
+def contained(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
+    """doc_id, item_id, n_shared, n_item, containment: a row for each document and item of which it holds enough."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text_key"), F.col(text).cast("string").alias("text"))
+    with temporary(docs.sparkSession):
+        found = cut(search(rows, shingle_table(benchmark, containment, item_id, item_text), containment), slim=True, keep=True)
+    return found.select("doc_id", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
-        return run
 
-    for block in blocks(benchmark, item_id, item_text):
-        docs = docs.mapInArrow(keep(block), docs.schema)
-    return docs
+def decontaminate(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT, text: str = "text", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
+    """``docs`` without the rows whose text holds enough of an item."""
+    body = F.col(text).cast("string")
+    rows = docs.select(F.lit(None).cast("long").alias("doc_id"), F.md5(body).alias("text_key"), body.alias("text"))
+    with temporary(docs.sparkSession):
+        bad = cut(search(rows, shingle_table(benchmark, containment, item_id, item_text), containment).select("text_key").distinct(), slim=True, keep=True)
+    return without(docs, F.md5(body), bad, "text_key")

@@ -23,24 +23,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_groups, maybe_in, temporary
+from .common import cut, free_names, join_groups, maybe_in, temporary
 
 #: One pair of neighbouring lines in DIVISOR ends a chunk.
 DIVISOR = 3
 MIN_LINES = 2
 
 
-def _names(df: DataFrame, *wanted: str) -> list[str]:
-    """The wanted names, each with as many underscores as keep it apart from the columns of ``df``."""
-    taken = {c.lower() for c in df.columns}
-    out = []
-    for name in wanted:
-        while name.lower() in taken:
-            name = f"_{name}"
-        out.append(name)
-    return out
-
-
 def chunks(text: str, min_lines: int = MIN_LINES) -> Column:
     """A struct of a text column's lines and the last lines of its chunks, from 1, in order; null for texts without lines."""
     lines = F.split(F.col(text), "\n", -1)
@@ -111,7 +100,7 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_
         lost = gone.unionByName(_again(rest, windows)).select("doc_id", "text_h", F.explode(F.sequence("pos", F.col("pos") + F.col("n") - 1)).alias("line"))
         drops = cut(lost.groupBy("doc_id", "text_h").agg(F.collect_set("line").alias("drops")), keep=True)
 
-    n_lines, n_removed, h, d = _names(docs, "n_lines", "n_removed", "text_h", "drops")
+    n_lines, n_removed, h, d = free_names(docs, "n_lines", "n_removed", "text_h", "drops")
     left = docs.withColumn(h, F.xxhash64(body)).alias("l")
     right = drops.select(F.col("doc_id").alias("r_id"), F.col("text_h").alias("r_h"), F.col("drops").alias(d)).alias("r")
     out = left.join(right, F.col(f"l.`{doc_id}`").eqNullSafe(F.col("r.r_id")) & (F.col(f"l.`{h}`") == F.col("r.r_h")), "left")

@@ -6,8 +6,8 @@ from collections import Counter
 
 import pytest
 
-from tesseral.llm.decontaminate import BLOCK_BYTES, contained, decontaminate
-from tesseral.llm import decontaminate as module
+from tesseral.llm.common import cut
+from tesseral.llm.decontaminate import Gate, contained, decontaminate
 from tesseral.llm.language_id import RANKS, UNKNOWN, held_out, identify, learn, predict
 from tesseral.llm.license_scan import NOTICES, PHRASES, WORD, license_scan
 from tesseral.llm.url_filter import intervals, url_filter
@@ -100,7 +100,7 @@ def test_licenses_on_edges(edges, nothing):
     assert license_scan(nothing).count() == 0
 
 
-def test_contained_equals_brute_force_in_blocks(spark, corpus, monkeypatch):
+def test_contained_equals_brute_force_in_one_scan(spark, corpus, monkeypatch):
     items = [(k, " ".join(t.split()[10 : 10 + 5 + k % 40])) for k, (_, t) in enumerate(corpus[:60])] + [(100, "of the"), (101, ""), (102, None), (103, "zz yy xx")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
 
@@ -116,14 +116,33 @@ def test_contained_equals_brute_force_in_blocks(spark, corpus, monkeypatch):
             shared = len(own & grams(t, n))
             if shared >= 0.8 * len(own) - 1e-9:
                 expected.add((d, item, shared, len(own)))
-    table = docs(spark, corpus)
-    whole = {(r.doc_id, r.item_id, r.n_shared, r.n_item) for r in contained(table, benchmark).collect()}
-    assert whole == expected and len(expected) >= 60
-    monkeypatch.setattr(module, "BLOCK_BYTES", 500)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    table = cut(docs(spark, corpus))
+    seen = table.mapInArrow(counted, table.schema)
+    whole = {(r.doc_id, r.item_id, r.n_shared, r.n_item) for r in contained(seen, benchmark).collect()}
+    assert whole == expected and len(expected) >= 60 and read.value == len(corpus)
+    # filters that let everything pass cost rows, not results
+    own = Gate.of
+    monkeypatch.setattr(Gate, "of", staticmethod(lambda hashes: own(hashes, 1)))
     assert {(r.doc_id, r.item_id, r.n_shared, r.n_item) for r in contained(table, benchmark).collect()} == expected
     left = {r.doc_id for r in decontaminate(table, benchmark.where("item_id < 100")).collect()}
     assert left == {d for d, _ in corpus} - {d for d, item, *_ in expected if item < 100}
-    assert BLOCK_BYTES > 500
+
+
+def test_contained_reports_repeated_rows_each(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    items = spark.createDataFrame([(1, text), (1, text), (2, text + " more"), (3, "w1 w2"), (4, "common words")], "item_id long, text string")
+    table = docs(spark, [(5, text), (5, text), (None, text.upper()), (6, " ".join(f"w{k}" for k in range(24))), (7, "w1, w2!"), (8, None)])
+    got = sorted((r.doc_id or 0, r.item_id, r.n_shared) for r in contained(table, items).collect())
+    full = [(1, 26), (1, 26), (2, 26), (3, 1)]
+    assert got == sorted([*[(d, *x) for d in (5, 5, 0) for x in full], (6, 3, 1), (7, 3, 1)])
+    assert sorted(r.doc_id or 0 for r in decontaminate(table, items.where("item_id < 3")).collect()) == [6, 7, 8]
 
 
 def test_contained_on_edges(spark, edges, nothing):
