@@ -13,10 +13,19 @@ tested or connected already, and tests are exact: both texts' full shingle sets.
 against pivots. Joins on hot buckets are joins of plain tables, which Spark splits; the members of a hot pivot are salted,
 and its text meets SALT of them at a time.
 
-With ROWS rows in BANDS bands a pair of similarity 0.85 shares no bucket with probability (1 - 0.85^5)^24 < 1e-6.
+Homes of more than HOME members are not held together; their members stay in the search by buckets, which is exact without homes.
+
+What is lost. With ROWS rows in BANDS bands a pair of similarity 0.85 shares no bucket with probability (1 - 0.85^5)^24 < 1e-6
+(of similarity 0.80: 7e-5). Of candidates, those are dropped before the test whose signatures agree in DEVIATIONS standard
+deviations less of their places than expected of a linked pair, which a linked pair does with probability under 1e-8 (six
+deviations of a binomial). Tests are on 64-bit hashes of shingles, words are not compared again: sets of 1000 shingles that
+share none would have one in common by chance with probability 1e-13.
+
+The work of a bucket of which no members are linked grows with the square of its members, since each pair has to be refused;
+most pairs are refused by signatures of 120 bytes, by pivots, never as rows of all pairs.
 
 Defined cases: a text of fewer words than a shingle has its whole sequence as one shingle; one without words (null, empty,
-white space) has an empty set and is linked with nothing; rows that repeat a doc_id are one node (its links are those of any of them);
+white space) has an empty set and is linked with nothing; rows that repeat a doc_id are one node, with the links of all its texts;
 rows without doc_id are linked with nothing and stay; an empty table gives an empty result; other columns are not read.
 """
 
@@ -30,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, join_groups, maybe_in
+from .common import cut, join_groups, maybe_in, temporary, tidy
 from .components import components
 from .shingles import ascii_words, mix, shingles
 
@@ -41,6 +50,8 @@ SALT = 512
 #: Signature values of a linked pair may fall short of the similarity by this many standard deviations.
 DEVIATIONS = 6
 MOST_PIVOTS = 256
+#: Members of a home that are held against each other, all of them.
+HOME = 1 << 13
 #: Members, and shingles of them, that are held against another such block at once; shingles of a product of matrices.
 BLOCK, BLOCK_SHINGLES, COLUMNS = 512, 400_000, 4096
 #: Bytes of text and number of texts that a task hashes together.
@@ -86,14 +97,14 @@ def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 
 
 def sketch(docs: DataFrame, percent: int, gram: int) -> DataFrame:
-    """doc_id, n, set_a, set_b (a digest of the set), buckets, sig (the signature's low bytes) for each row (doc_id, text)."""
-    schema = "doc_id long, n long, set_a long, set_b long, buckets array<long>, sig binary"
+    """doc_id, text_h, n, set_a, set_b (a digest of the set), buckets, sig (the signature's low bytes) for each row (doc_id, text, text_h)."""
+    schema = "doc_id long, text_h long, n long, set_a long, set_b long, buckets array<long>, sig binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             every = b.column(1)
             for lo in range(0, b.num_rows, 1024):
-                ids, texts = b.column(0).slice(lo, 1024), every.slice(lo, 1024).to_pylist()
+                ids, keys, texts = b.column(0).slice(lo, 1024), b.column(2).slice(lo, 1024), every.slice(lo, 1024).to_pylist()
                 for p, q in _slices(texts):
                     hashes, starts = shingles([ascii_words(t) for t in texts[p:q]], gram)
                     sets = [np.unique(hashes[x:y]) for x, y in zip(starts[:-1], starts[1:])]
@@ -110,11 +121,11 @@ def sketch(docs: DataFrame, percent: int, gram: int) -> DataFrame:
                         for k, where, low in zip(some, buckets(signed, sizes[some], percent).view(np.int64), signed.astype(np.uint8)):
                             lists[k], sig[k] = where, low.tobytes()
                     yield pa.RecordBatch.from_arrays(
-                        [ids.slice(p, q - p), pa.array(sizes, pa.int64()), pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(lists, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
-                        ["doc_id", "n", "set_a", "set_b", "buckets", "sig"],
+                        [ids.slice(p, q - p), keys.slice(p, q - p), pa.array(sizes, pa.int64()), pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(lists, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
+                        ["doc_id", "text_h", "n", "set_a", "set_b", "buckets", "sig"],
                     )
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -139,11 +150,11 @@ def likely(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
 
     first = pairs.join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
     pivots = cut(pairs.select("a").distinct().join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a"), slim=True)
-    return join_groups(first, pivots, ["a"]).select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return join_groups(first, pivots, ["a"]).select("a", "b", "sig_a", "sig_b").mapInArrow(tidy(run), "a long, b long")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, percent: int, gram: int) -> DataFrame:
-    """The pairs (a, b) of documents (doc_id, text) that are linked. Each a meets SALT members at a time."""
+def verify(pairs: DataFrame, texts: DataFrame, percent: int, gram: int) -> DataFrame:
+    """The pairs (a, b) of texts (rep, text; a written table) that are linked. Each a meets SALT members at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, own = None, np.zeros(0, np.uint64)
@@ -165,12 +176,11 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int, gram: int) -> DataFr
     sizes = cut(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("size")), slim=True)
     salts = F.ceil(F.col("size") / SALT)
     salted = join_groups(pairs, sizes.withColumn("salts", salts), ["a"]).select("a", "b", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"))
-    ends = sizes.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
-    texts = cut(maybe_in(docs, F.xxhash64("doc_id"), ends, F.xxhash64("a")))
-    left = sizes.select("a", F.explode(F.sequence(F.lit(0), (salts - 1).cast("int"))).alias("salt")).join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    right = salted.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    mine, others = (maybe_in(texts, F.xxhash64("rep"), ends, F.xxhash64("end")) for ends in (sizes.select(F.col("a").alias("end")), cut(pairs.select(F.col("b").alias("end")).distinct(), slim=True)))
+    left = sizes.select("a", F.explode(F.sequence(F.lit(0), (salts - 1).cast("int"))).alias("salt")).join(mine.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
+    right = salted.join(others.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
     met = right.hint("merge").join(left.hint("merge"), ["a", "salt"])
-    return met.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+    return met.select("a", "b", "text_a", "text_b").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def block_links(texts: list[str], ids: list[int], labels: list[int], percent: int, gram: int) -> list[tuple[int, int]]:
@@ -199,7 +209,7 @@ def block_links(texts: list[str], ids: list[int], labels: list[int], percent: in
     return [(ids[a[k]], ids[b[k]]) for k in first.tolist()]
 
 
-def in_homes(homes: DataFrame, sigs: DataFrame, docs: DataFrame, percent: int, gram: int) -> DataFrame:
+def in_homes(homes: DataFrame, sigs: DataFrame, texts: DataFrame, percent: int, gram: int) -> DataFrame:
     """Links (a, b) between differently labelled members (rep, home, label) of a home, all of whose members are held against
     each other. The pairs of its blocks are tasks of their own; links are given, and one of each two labels is enough."""
 
@@ -226,10 +236,9 @@ def in_homes(homes: DataFrame, sigs: DataFrame, docs: DataFrame, percent: int, g
     parts = sized.groupBy("home").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"), F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("home", "parts")
     own = join_groups(homes, cut(parts, slim=True), ["home"]).withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
     own = cut(own, slim=True)
-    texts = maybe_in(docs, F.xxhash64("doc_id"), own, F.xxhash64("rep")).dropDuplicates(["doc_id"])
-    full = own.join(texts, own["rep"] == texts["doc_id"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    full = own.join(maybe_in(texts, F.xxhash64("rep"), own, F.xxhash64("rep")), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     keys = ["home", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")]
-    return full.select(*keys, "rep", "label", "text").repartition("home", "i", "j").sortWithinPartitions("home", "i", "j").mapInArrow(run, "a long, b long")
+    return full.select(*keys, "rep", "label", "text").repartition("home", "i", "j").sortWithinPartitions("home", "i", "j").mapInArrow(tidy(run), "a long, b long")
 
 
 def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = 85, gram: int = GRAM) -> DataFrame:
@@ -237,22 +246,48 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", perc
 
     Documents are linked where ``100 * shared shingles >= percent * all shingles`` of the two.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sketches = cut(sketch(rows, percent, gram))
+    body = F.col(text).cast("string")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("text_h"))
+    with temporary(docs.sparkSession):
+        sketches = cut(sketch(rows, percent, gram))
+        named = named_components(sketches, rows, percent, gram)
+        out = sketches.select("doc_id", F.col("n").alias("n_shingles")).join(named, "doc_id", "left")
+        done = cut(out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")), keep=True)
+    return done.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def named_components(sketches: DataFrame, rows: DataFrame, percent: int, gram: int) -> DataFrame:
+    """doc_id, component_id (its smallest doc_id) of the documents that are linked with others."""
     valid = sketches.where("n > 0 and doc_id is not null")
     digest = ["set_a", "set_b", "n"]
-    groups = cut(valid.groupBy(*digest).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")))
-    members = cut(join_groups(valid.select("doc_id", *digest), groups, digest).select("doc_id", "rep").distinct())
-    reps = valid.join(groups.select(F.col("rep").alias("doc_id"), *digest), ["doc_id", *digest]).withColumnRenamed("doc_id", "rep")
-    sigs = cut(reps.dropDuplicates(["rep"]).select("rep", "n", "sig"))
+    # a number for each different set, whichever doc_ids have it
+    groups = cut(valid.groupBy(*digest).agg(F.min(F.struct("doc_id", "text_h")).alias("least")).select(F.monotonically_increasing_id().alias("rep"), *digest, "least.*"))
+    members = cut(join_groups(valid.select("doc_id", *digest), groups.select("rep", *digest), digest).select("doc_id", "rep").distinct())
+    own = groups.select("rep", "doc_id", "text_h")
+    # rows that repeat doc_id and text go by the exchange that the join needs
+    each_row = ["doc_id", "text_h"]
+    reps = cut(valid.select(*each_row, "n", "sig", "buckets").dropDuplicates(each_row).join(own, each_row).drop(*each_row))
+    sigs = reps.select("rep", "n", "sig")
 
     spread = reps.select("rep", F.explode("buckets").alias("bucket"))
     sizes = cut(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     met = join_groups(cut(maybe_in(spread, F.col("bucket"), sizes, F.col("bucket"))), sizes, ["bucket"])
     met = cut(met.distinct())
     open_rows = cut(met.join(met.groupBy("rep").agg(F.sum("size").alias("weight")), "rep").select("bucket", "rep", "weight", F.col("rep").alias("label"), F.col("rep").alias("home")))
+    asked_for = cut(own.join(open_rows.select("rep").distinct(), "rep"), slim=True)
+    texts = cut(maybe_in(rows, F.xxhash64(*each_row), asked_for, F.xxhash64(*each_row)).dropDuplicates(each_row).join(asked_for, each_row).select("rep", "text"))
+
+    found = search(open_rows, sigs, texts, percent, gram)
+    several = members.groupBy("doc_id").agg(F.min("rep").alias("b"), F.collect_set("rep").alias("of")).where(F.size("of") > 1)
+    links = several.select(F.explode("of").alias("a"), "b").where("a <> b")
+    labels = components(links if found is None else links.unionByName(found))
+    labelled = cut(members.join(labels, members["rep"] == labels["node"], "left").select("doc_id", F.coalesce("component", "rep").alias("label")).distinct())
+    least = cut(labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size"))
+    return join_groups(labelled, least, ["label"]).select("doc_id", "component_id")
+
 
-    links = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+def search(open_rows: DataFrame, sigs: DataFrame, texts: DataFrame, percent: int, gram: int) -> DataFrame | None:
+    """Links (a, b) that connect what is linked among the members of open buckets; none if no bucket is open."""
     pivots, homes = 1, None
     found: DataFrame | None = None
     while not open_rows.isEmpty():
@@ -267,14 +302,16 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", perc
         asked = lambda p: (p["label"] != F.col("label")) & (~F.col("own") | (-p["minus"] < F.col("rep"))) & (F.lit(homes is None) | (p["home"] != F.col("home")))
         wanted = tried.select("rep", F.transform(F.filter("best", asked), lambda p: -p["minus"]).alias("of")).where(F.size("of") > 0)
         each = wanted.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_set("of"))).alias("of")).select(F.explode("of").alias("a"), F.col("rep").alias("b"))
-        new = verify(cut(likely(cut(each, slim=True), sigs, percent), slim=True), rows, percent, gram)
+        new = verify(cut(likely(cut(each, slim=True), sigs, percent), slim=True), texts, percent, gram)
         found = cut(new if found is None else new.unionByName(found), slim=True)
         labels = components(found)
         if homes is None:
             count = tried.select("rep", F.col("best")[0]["minus"].alias("minus")).groupBy("rep", "minus").agg(F.count(F.lit(1)).alias("n"))
-            nearest = count.groupBy("rep").agg((-F.max(F.struct("n", "minus"))["minus"]).alias("home"))
+            nearest = cut(count.groupBy("rep").agg((-F.max(F.struct("n", "minus"))["minus"]).alias("home")), slim=True)
+            size = cut(nearest.groupBy("home").agg(F.count(F.lit(1)).alias("size")), slim=True)
+            nearest = join_groups(nearest, size, ["home"]).select("rep", F.when(F.col("size") > HOME, F.col("rep")).otherwise(F.col("home")).alias("home"))
             homes = cut(nearest.join(labels, nearest["rep"] == labels["node"], "left").select("rep", "home", F.coalesce("component", "rep").alias("label")), slim=True)
-            found = cut(found.unionByName(in_homes(homes, sigs, rows, percent, gram)), slim=True)
+            found = cut(found.unionByName(in_homes(homes, sigs, texts, percent, gram)), slim=True)
             labels = components(found)
             tried = tried.drop("home").join(homes.select("rep", "home"), "rep")
         rest = tried.where("not own").select("bucket", "rep", "weight", "home")
@@ -282,8 +319,4 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", perc
         still = cut(named.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.min("home").alias("h"), F.max("home").alias("i")).where("l <> m and h <> i").select("bucket"), slim=True)
         open_rows = cut(join_groups(named, still, ["bucket"]), slim=True)
         pivots = min(MOST_PIVOTS, 16 * pivots)
-    if found is not None:
-        links = links.unionByName(found)
-    labels = components(links)
-    out = sketches.select("doc_id", F.col("n").alias("n_shingles")).join(labels, sketches["doc_id"] == labels["node"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return found

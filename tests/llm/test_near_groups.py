@@ -34,6 +34,12 @@ def test_groups(spark, monkeypatch, block):
     assert {r.doc_id: r.component_id for r in near_dedup(docs(spark, table)).collect()} == expected
 
 
+def test_a_home_too_large_to_be_held_together(spark, monkeypatch):
+    monkeypatch.setattr(module, "HOME", 20)
+    table = variants(120, 3)
+    assert {r.doc_id: r.component_id for r in near_dedup(docs(spark, table)).collect()} == brute_components(sets_of(table), 85)
+
+
 def test_block_links_join_what_is_linked():
     table = variants(60, 5)
     sets = sets_of(table)
