@@ -41,17 +41,17 @@ def _path(spark: SparkSession, path: str):
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
 
 
-def cut(df: DataFrame, slim: bool = False, keep: bool = False) -> DataFrame:
+def cut(df: DataFrame, slim: bool = False, keep: int = 0) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back: a lost executor costs nothing that is upstream.
 
-    ``slim`` is for tables of ids, whose shuffle partitions are small: at most four tasks a core write them. ``keep``: the
-    table outlives the scope of ``temporary`` in which it is written.
+    ``slim`` is for tables of ids, whose shuffle partitions are small: at most four tasks a core write them. ``keep``: so many
+    scopes of ``temporary`` the table outlives, from the one in which it is written.
     """
     spark = df.sparkSession
     if slim:
         df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    _written[max(0, len(_written) - 1 - keep)].append(path)
+    _written[max(0, len(_written) - 1 - int(keep))].append(path)
     was = spark.conf.get(_CLEAN, "false")
     spark.conf.set(_CLEAN, "true")  # nothing but this query reads its shuffles
     try:
@@ -163,20 +163,25 @@ def maybe_in(rows: DataFrame, h: Column, keys: DataFrame, key_h: Column) -> Data
     return met.where(F.col("_mask").bitwiseAND(F.col("_bits")) == F.col("_bits")).select(*rows.columns)
 
 
-def without(rows: DataFrame, key: Column, gone: DataFrame, name: str) -> DataFrame:
-    """The rows whose string ``key`` is not in the column ``name`` of ``gone`` (a written table); those with a null key stay.
+def parted(rows: DataFrame, h: Column, keys: DataFrame, key_h: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows whose 64-bit hash ``h`` may be one of the hashes of ``keys`` (a written table), and those that surely have another.
 
-    A filter that is broadcast tells most rows to be none of them, and only the others meet the table; where there are too many
-    keys for that all rows do.
+    A filter that is broadcast tells them apart; where there are too many keys for that, all rows may be of the first kind.
     """
-    words = filter_words(gone.count())
-    k, w, b, m = free_names(rows, "key", "word", "bits", "mask")
-    own = [F.col(f"`{c}`") for c in rows.columns]
-    meet = lambda df: df.join(gone.select(F.col(name).alias(k)), k, "left_anti").select(*own)
-    marked = rows.withColumn(k, key)
+    words = filter_words(keys.count())
     if words > MAX_WORDS:
-        return meet(marked)
-    marks = F.broadcast(bloom(gone, F.xxhash64(name), words).withColumnsRenamed({"word": w, "mask": m}))
-    tested = marked.withColumns({w: F.pmod(F.xxhash64(k), F.lit(words)), b: filter_mask(F.xxhash64(k))}).join(marks, w, "left")
-    maybe = F.coalesce(F.col(m).bitwiseAND(F.col(b)) == F.col(b), F.lit(False)) & F.col(k).isNotNull()
-    return tested.where(~maybe).select(*own).unionByName(meet(tested.where(maybe)))
+        return rows, rows.where(F.lit(False))
+    w, b, m = free_names(rows, "word", "bits", "mask")
+    own = [F.col(f"`{c}`") for c in rows.columns]
+    marks = F.broadcast(bloom(keys, key_h, words).withColumnsRenamed({"word": w, "mask": m}))
+    tested = rows.withColumns({w: F.pmod(h, F.lit(words)), b: filter_mask(h)}).join(marks, w, "left")
+    maybe = F.coalesce(F.col(m).bitwiseAND(F.col(b)) == F.col(b), F.lit(False))
+    return tested.where(maybe).select(*own), tested.where(~maybe).select(*own)
+
+
+def without(rows: DataFrame, key: Column, gone: DataFrame, name: str) -> DataFrame:
+    """The rows whose ``key`` is not in the column ``name`` of ``gone`` (a written table); those with a null key stay. Only rows
+    that may be gone are shuffled."""
+    (k,) = free_names(rows, "key")
+    maybe, rest = parted(rows.withColumn(k, key), F.xxhash64(key), gone, F.xxhash64(name))
+    return maybe.join(gone.select(F.col(name).alias(k)), k, "left_anti").unionByName(rest).select(*[F.col(f"`{c}`") for c in rows.columns])

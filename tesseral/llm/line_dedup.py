@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free_names, join_groups, maybe_in, temporary
+from .common import cut, free_names, join_groups, maybe_in, parted, temporary
 
 #: One pair of neighbouring lines in DIVISOR ends a chunk.
 DIVISOR = 3
@@ -101,10 +101,12 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_
         drops = cut(lost.groupBy("doc_id", "text_h").agg(F.collect_set("line").alias("drops")), keep=True)
 
     n_lines, n_removed, h, d = free_names(docs, "n_lines", "n_removed", "text_h", "drops")
-    left = docs.withColumn(h, F.xxhash64(body)).alias("l")
+    hashed = docs.withColumn(h, F.xxhash64(body))
+    # texts that lose nothing are not shuffled
+    maybe, rest = parted(hashed, F.xxhash64(F.col(f"`{doc_id}`"), F.col(h)), drops, F.xxhash64("doc_id", "text_h"))
     right = drops.select(F.col("doc_id").alias("r_id"), F.col("text_h").alias("r_h"), F.col("drops").alias(d)).alias("r")
-    out = left.join(right, F.col(f"l.`{doc_id}`").eqNullSafe(F.col("r.r_id")) & (F.col(f"l.`{h}`") == F.col("r.r_h")), "left")
-    out = out.select(*[F.col(f"l.`{x}`") for x in docs.columns], F.col(d))
+    met = maybe.alias("l").join(right, F.col(f"l.`{doc_id}`").eqNullSafe(F.col("r.r_id")) & (F.col(f"l.`{h}`") == F.col("r.r_h")), "left")
+    out = met.select(*[F.col(f"l.`{x}`") for x in docs.columns], F.col(d)).unionByName(rest.select(*[f"`{x}`" for x in docs.columns], F.lit(None).cast("array<int>").alias(d)))
     lines = F.when(F.coalesce(body, F.lit("")) == "", F.lit(0)).otherwise(F.size(F.split(body, "\n", -1)))
     both = F.struct(F.split(body, "\n", -1).alias("lines"), F.col(d).alias("drops"))
     staying = lambda x: F.array_except(F.sequence(F.lit(1), F.size(x["lines"])), x["drops"])
