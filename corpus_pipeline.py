@@ -1,11 +1,21 @@
-"""A corpus pipeline: five stages, each written as Parquet and read again as the next one's documents."""
+"""A corpus pipeline: five stages, each written as Parquet and read again as the next one's documents.
+
+Language profiles are learnt from the rows that the first stage judges; that stage asks how far a text is from every known language,
+not which one it is in, so its own part in the profiles does not decide.
+
+Defined cases, by stage. Language ID: a null or empty text and one without a letter go, as does every row if no row has a
+language and a text to learn from; a null lang or doc_id is no reason to go. Line dedup: every row stays, a text may become empty; rows that
+repeat doc_id and text get equal texts. Near-dedup: rows that repeat a doc_id stay or go together; those without doc_id stay.
+Decontamination: null and empty texts stay; without items every row does. SentencePiece: null texts have null ids and no tokens.
+Empty tables give empty tables; columns beyond COLUMNS are not read and do not come out, whatever their names.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesseral.llm.common import cut
+from tesseral.llm.common import cut, temporary, without
 from tesseral.llm.decontaminate import decontaminate
 from tesseral.llm.language_id import UNKNOWN, learn, predict
 from tesseral.llm.line_dedup import line_dedup
@@ -34,8 +44,9 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each group of near copies."""
-    gone = near_dedup(docs, percent=SIMILAR).where("not kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    with temporary(spark):
+        gone = cut(near_dedup(docs, percent=SIMILAR).where("not kept").select("doc_id").distinct(), slim=True, keep=1)
+    return without(docs.select(*COLUMNS), F.col("doc_id").cast("long"), gone, "doc_id")
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,6 +75,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir))
+    with temporary(spark):  # what a stage leaves goes with the next one's end, its documents at the end of all
+        for k, (_, stage) in enumerate(STAGES):
+            with temporary(spark):
+                docs = cut(stage(spark, docs, sf_dir), keep=2 if k == len(STAGES) - 1 else 1)
     return docs
