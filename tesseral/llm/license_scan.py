@@ -1,9 +1,10 @@
 """License scans by diagonal voting, in DataFrame operations only.
 
 Every word 3-gram hash of every text is joined to the template positions that have it (templates are constants of this
-module, so the broadcast is bounded). A hit votes for a diagonal: text position less template position. Diagonals of one
-template that lie at most SLIP apart are merged, for words put in or left out, and each cluster with enough votes is
-verified on the text's words. A phrase counts where all its words stand consecutively, which the verification compares
+module, so the broadcast is bounded). A hit votes for a diagonal: text position less template position; a position votes once,
+however often its row is repeated. Diagonals of one template that lie at most SLIP apart are merged, for words put in or left
+out. Each cluster with enough votes is verified on the text's words: a phrase has all its 3-grams, of a notice, whose 3-grams
+break where words are left out (three for a word) and where some are put in (two for a place), a fifth of its words is enough. A phrase counts where all its words stand consecutively, which the verification compares
 word by word; a notice counts where at least COVER of its words stand on its cluster's diagonals.
 
 Defined cases: a null or empty text has no words, no labels and score 0; the empty table gives an empty result; rows that
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, maybe_in
 
 #: Phrases and their labels.
 PHRASES = [
@@ -48,7 +49,11 @@ NOTICES = [
 GRAM = 3
 SLIP = 2
 COVER = 0.8
+#: The votes that a notice needs to be looked at: two, or one for so many of its words.
+WORDS_A_VOTE = 5
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words before A-Z are in lower case, to be counted only.
+ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: str) -> Column:
@@ -78,22 +83,24 @@ def license_scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """
     spark = docs.sparkSession
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("text_h"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("text_h"), F.col(text).cast("string").alias("text"))
     known = templates(spark)
     spots = F.broadcast(grams(known.withColumn("size", F.size("t_words")), ["template", "size", "exact"], "t_words", "t_pos"))
     hits = grams(rows.select("doc_id", "text_h", words("text").alias("w")), ["doc_id", "text_h"], "w", "pos").join(spots, "gram")
 
-    votes = hits.groupBy("doc_id", "text_h", "template", "size", "exact", (F.col("pos") - F.col("t_pos")).alias("diagonal")).agg(F.count(F.lit(1)).alias("votes"))
+    votes = hits.groupBy("doc_id", "text_h", "template", "size", "exact", (F.col("pos") - F.col("t_pos")).alias("diagonal")).agg(F.count_distinct("pos").alias("votes"))
     # neighbouring diagonals of a notice become one cluster; a phrase allows no slip, so each of its diagonals stands alone
     by = Window.partitionBy("doc_id", "text_h", "template").orderBy("diagonal")
     gap = F.col("exact") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by) > SLIP, F.lit(True))
     numbered = votes.withColumn("cluster", F.sum(gap.cast("int")).over(by))
     found = numbered.groupBy("doc_id", "text_h", "template", "cluster").agg(F.sort_array(F.collect_set("diagonal")).alias("diagonals"), F.sum("votes").alias("votes"), F.first("size").alias("size"), F.first("exact").alias("exact"))
-    # each word that a notice lacks spoils three 3-grams at most
-    enough = F.when(F.col("exact"), F.col("votes") >= F.col("size") - (GRAM - 1)).otherwise(F.col("votes") >= F.greatest(F.lit(1), F.ceil(F.col("size") - GRAM + 1 - GRAM * (1 - COVER) * F.col("size"))))
-    spans = cut(found.where(enough).select("doc_id", "text_h", "template", "diagonals"))
+    enough = F.when(F.col("exact"), F.col("votes") >= F.col("size") - (GRAM - 1)).otherwise(F.col("votes") >= F.greatest(F.lit(2), F.floor(F.col("size") / WORDS_A_VOTE)))
+    spans = cut(found.where(enough).select("doc_id", "text_h", "template", "diagonals"), slim=True)
 
-    marked = rows.join(spans.select("doc_id", "text_h").distinct(), on=(rows["doc_id"].eqNullSafe(spans["doc_id"])) & (rows["text_h"] == spans["text_h"]), how="left_semi")
+    # only texts with a cluster are split again, and shuffled
+    asked = cut(spans.select("doc_id", "text_h").distinct(), slim=True)
+    marked = maybe_in(rows, F.xxhash64("doc_id", "text_h"), asked, F.xxhash64("doc_id", "text_h")).alias("r")
+    marked = marked.join(asked.alias("a"), F.col("r.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("r.text_h") == F.col("a.text_h")), "left_semi")
     full = marked.dropDuplicates(["doc_id", "text_h"]).select("doc_id", "text_h", words("text").alias("w"))
     s, f = spans.alias("s"), full.alias("f")
     checked = s.join(f, F.col("s.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("s.text_h") == F.col("f.text_h"))).select("s.*", "f.w").join(F.broadcast(known), "template")
@@ -106,7 +113,7 @@ def license_scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
         F.count(base("start")).alias("n_base"), F.min(base("start")).cast("long").alias("first_word"), F.max(base("start")).cast("long").alias("last_word"),
         joined(base("label")).alias("base_labels"), joined("label").alias("labels"), F.max("cover").alias("score"),
     )
-    a, m = rows.select("doc_id", "text_h", F.size(words("text")).cast("long").alias("n_words")).alias("a"), marks.alias("m")
+    a, m = rows.select("doc_id", "text_h", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(ANY_CASE)).cast("long").alias("n_words")).alias("a"), cut(marks, slim=True).alias("m")
     out = a.join(m, F.col("a.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("a.text_h") == F.col("m.text_h")), "left")
     return out.select(
         "a.doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
