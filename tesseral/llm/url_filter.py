@@ -1,9 +1,10 @@
 """URL filters by a temporal list join.
 
 A list is a log of dated events (list, pattern, date, listed or not). Its events become validity intervals [since, until),
-and every capture is held against the intervals that hold on the day it was fetched, for its host and each parent domain.
-Intervals are cut at month boundaries, so the as-of join is an equality of (pattern, month) and a comparison of days within
-a month's few intervals; keys with many captures are counted first and broadcast, all others are shuffled.
+and every capture is held against the intervals that hold on the day it was fetched, for its host and each parent domain; an
+address, such as 192.0.2.1 or [2001:db8::1], has no parents. Intervals are cut at month boundaries, so the as-of join is an
+equality of (pattern, month) and a comparison of days within a month's few intervals. Both sides of it are written tables: large
+keys, such as the top domains, are split by Spark's adaptive skew join.
 
 Defined cases: of a pattern's events on one day, delisting wins; delisting what isn't listed does nothing; rows with a null
 list, pattern or date are no events; a null url, one without a host or a null fetch time meets no entry and stays; patterns
@@ -19,11 +20,12 @@ from pyspark.sql import functions as F
 from .common import cut, join_groups
 
 FAR = "9999-12-31"
+ADDRESS = r"^\[|^\d+(\.\d+){3}$"
 
 
 def host(url: str) -> Column:
-    """The host of a url, in lower case without user, port and final dot; null if it has none."""
-    found = F.lower(F.regexp_extract(F.col(url), r"^\s*[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1))
+    """The host of a url, in lower case without user, port and final dot; null if it has none. IPv6 addresses keep their brackets."""
+    found = F.lower(F.regexp_extract(F.col(url), r"^\s*[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#]+\]|[^/?#:@\[\]]+)", 1))
     return F.nullif(F.rtrim(found, F.lit(".")), F.lit(""))
 
 
@@ -44,7 +46,7 @@ def url_filter(captures: DataFrame, events: DataFrame, key: str = "page_id", url
     """
     day, month = F.col(fetched).cast("date"), F.date_trunc("month", F.col(fetched).cast("date")).cast("date")
     seen = captures.select(F.col(key).alias("k"), F.xxhash64(url).alias("u"), host(url).alias("host"), day.alias("day"), month.alias("month")).where("host is not null and day is not null").distinct()
-    labels = F.split("host", r"\.")
+    labels = F.when(F.col("host").rlike(ADDRESS), F.array("host")).otherwise(F.split("host", r"\."))
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     asked = cut(seen.select("k", "u", "day", "month", F.explode(parents).alias("pattern")))
     span = asked.agg(F.min("month"), F.max("month")).first()
@@ -56,9 +58,7 @@ def url_filter(captures: DataFrame, events: DataFrame, key: str = "page_id", url
     monthly = listed.withColumn("month", F.explode(F.sequence(lo, hi, F.expr("interval 1 month"))))
     # of one list and pattern at most 16 intervals begin in a month
     entries = monthly.groupBy("pattern", "month").agg(F.collect_list(F.struct("list", "since", "until")).alias("spans"))
-    counts = asked.groupBy("pattern", "month").agg(F.count(F.lit(1)).alias("size"))
-    groups = cut(entries.join(counts, ["pattern", "month"]))
-    met = join_groups(asked, groups, ["pattern", "month"]).select("k", "u", "day", F.filter("spans", lambda s: (s["since"] <= F.col("day")) & (F.col("day") < s["until"])).alias("now")).where(F.size("now") > 0)
+    met = join_groups(asked, cut(entries, slim=True), ["pattern", "month"]).select("k", "u", "day", F.filter("spans", lambda s: (s["since"] <= F.col("day")) & (F.col("day") < s["until"])).alias("now")).where(F.size("now") > 0)
     found = met.groupBy("k", "u", "day").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform("now", lambda s: s["list"]))))), ",").alias("lists"), F.sum(F.size("now")).alias("n_entries"))
     c, f = captures.alias("c"), found.alias("f")
     on = F.col(f"c.{key}").eqNullSafe(F.col("f.k")) & (F.xxhash64(f"c.{url}") == F.col("f.u")) & (F.col(f"c.{fetched}").cast("date") == F.col("f.day"))
