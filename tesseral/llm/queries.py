@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chat_format import encode_turns, read_back
+from .chat_format import format_chat, read_back
 from .decontaminate import contained
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
@@ -74,7 +74,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
     planted = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return read_back(encode_turns(turns.unionByName(planted)))
+    return read_back(format_chat(turns.unionByName(planted)))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,6 +115,34 @@ SQL = {
         )
         SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
         FROM documents LEFT JOIN k USING (doc_id)""",
+    "op2_language_id": r"""
+        WITH crc AS (
+            SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+        ), d AS (
+            SELECT doc_id, lang, lower(coalesce(text, '')) AS low, text IS NOT NULL AS has_text,
+                   coalesce(xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 4 = 2, false) AS held_out
+            FROM documents, crc
+        ), w AS (SELECT doc_id, unnest(regexp_extract_all(low, '\p{L}+')) AS w FROM d),
+        v AS (SELECT doc_id, w, count(*) AS n FROM w GROUP BY ALL),
+        k AS (
+            SELECT doc_id, n, len(w) AS m, list_concat([CAST(1114112 AS BIGINT)], list_transform(string_split(w, ''), lambda c: CAST(unicode(c) AS BIGINT)), [CAST(1114112 AS BIGINT)]) AS c FROM v
+        ), edges AS (
+            -- the text's own edges: a word's last and the next word's first edge are one character, which no n-gram has in its middle
+            SELECT doc_id, n, unnest(list_concat(
+                list_transform(range(2, m + 2), lambda i: c[i]),
+                list_transform(range(1, m + 2), lambda i: c[i] * 2097152 + c[i + 1]),
+                list_transform(range(2, m + 2), lambda i: (c[i - 1] * 2097152 + c[i]) * 2097152 + c[i + 1]))) AS gram
+            FROM k
+        ), g AS (SELECT doc_id, gram, CAST(sum(n) AS BIGINT) AS n FROM edges GROUP BY ALL),
+        p AS (
+            SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) - 1 AS place
+            FROM (SELECT lang, gram, sum(n) AS n FROM g JOIN d USING (doc_id) WHERE NOT held_out AND lang IS NOT NULL GROUP BY ALL) QUALIFY place < 300
+        ), r AS (SELECT doc_id, gram, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, gram) - 1 AS place FROM g QUALIFY place < 300),
+        a AS (
+            SELECT doc_id, l.lang, sum(CASE WHEN p.place IS NULL THEN 300 ELSE abs(p.place - r.place) END) AS apart, count(*) AS n
+            FROM r CROSS JOIN (SELECT DISTINCT lang FROM p) l LEFT JOIN p ON p.lang = l.lang AND p.gram = r.gram GROUP BY doc_id, l.lang
+        ), b AS (SELECT doc_id, lang AS lang_pred, 1.0 - CAST(apart AS DOUBLE) / CAST(300 * n AS DOUBLE) AS score FROM a QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY apart, lang) = 1)
+        SELECT doc_id, held_out, coalesce(lang_pred, 'und') AS lang_pred, coalesce(score, 0.0) AS score FROM d LEFT JOIN b USING (doc_id)""",
     "op3_license_scan": rf"""
         WITH d AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
@@ -123,7 +151,7 @@ SQL = {
         spots AS (SELECT template, exact, len(tw) AS size, i AS t_pos, tw[i + 1:i + 3] AS gram FROM t, unnest(range(len(tw) - 2)) u(i)),
         grams AS (SELECT doc_id, i AS pos, w[i + 1:i + 3] AS gram FROM d, unnest(range(len(w) - 2)) u(i)),
         votes AS (
-            SELECT doc_id, template, exact, size, pos - t_pos AS diagonal, count(*) AS votes
+            SELECT doc_id, template, exact, size, pos - t_pos AS diagonal, count(DISTINCT pos) AS votes
             FROM grams JOIN spots USING (gram) GROUP BY ALL
         ), numbered AS (
             SELECT *, sum(gap) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS cluster
@@ -135,7 +163,7 @@ SQL = {
             SELECT c.doc_id, t.label, t.exact, c.diagonals[1] AS start,
                    len(list_filter(range(len(tw)), lambda i: len(list_filter(diagonals, lambda d: i + d >= 0 AND i + d < len(w) AND w[i + d + 1] = tw[i + 1])) > 0)) / CAST(len(tw) AS DOUBLE) AS cover
             FROM clusters c JOIN d USING (doc_id) JOIN t USING (template)
-            WHERE c.votes >= CASE WHEN c.exact THEN size - 2 ELSE greatest(1, ceil(size - 2 - 3 * (1 - 0.8) * size)) END
+            WHERE c.votes >= CASE WHEN c.exact THEN size - 2 ELSE greatest(2, size // 5) END
         ), verified AS (SELECT * FROM checked WHERE cover >= CASE WHEN exact THEN 1 ELSE 0.8 END),
         marks AS (
             SELECT doc_id, count(*) FILTER (exact) AS n_base, min(start) FILTER (exact) AS first_word, max(start) FILTER (exact) AS last_word,
@@ -145,6 +173,20 @@ SQL = {
         SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
                coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
         FROM d LEFT JOIN marks USING (doc_id)""",
+    "op4_near_dedup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, md5(array_to_string(w[k:k + least(len(w), 5) - 1], ' ')) AS gram FROM w, unnest(range(1, len(w) - least(len(w), 5) + 2)) u(k) WHERE len(w) > 0
+        ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        l AS (
+            SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y ON x.gram = y.gram AND x.doc_id < y.doc_id JOIN n p ON p.doc_id = x.doc_id JOIN n q ON q.doc_id = y.doc_id
+            GROUP BY x.doc_id, y.doc_id, p.n, q.n HAVING 100 * count(*) >= 85 * (p.n + q.n - count(*))
+        ), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        c AS (SELECT doc_id, doc_id AS reach FROM n UNION SELECT c.doc_id, e.b FROM c JOIN e ON e.a = c.reach),
+        m AS (SELECT doc_id, min(reach) AS component_id FROM c GROUP BY doc_id)
+        SELECT doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept
+        FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)""",
     "op6_suffix_dedup": """
         WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
         c AS (SELECT doc_id, o, substr(x, 2 * o + 1, 2098) AS y FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 49, 1000)) AS o FROM d WHERE len(x) >= 100)),
@@ -170,11 +212,11 @@ SQL = {
         v AS (SELECT list, pattern, day AS since, listed, lead(day, 1, DATE '9999-12-31') OVER (PARTITION BY list, pattern ORDER BY day) AS until FROM e),
         c AS (
             SELECT page_id, DATE '2024-01-01' + CAST(page_id * 37 % 366 AS INTEGER) AS day,
-                   nullif(rtrim(lower(regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '.'), '') AS host
+                   nullif(rtrim(lower(regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#]+\]|[^/?#:@\[\]]+)', 1)), '.'), '') AS host
             FROM pages
         ), m AS (
             SELECT page_id, string_agg(DISTINCT list, ',' ORDER BY list) AS lists, count(*) AS n
-            FROM c JOIN v ON (host = pattern OR ends_with(host, '.' || pattern)) AND listed AND since <= day AND day < until
+            FROM c JOIN v ON (host = pattern OR ends_with(host, '.' || pattern) AND NOT regexp_matches(host, '^\[|^\d+(\.\d+){{3}}$')) AND listed AND since <= day AND day < until
             GROUP BY page_id
         )
         SELECT page_id, strftime(day, '%Y-%m-%d') AS fetched, host, coalesce(lists, '') AS lists, coalesce(n, 0) AS n_entries, lists IS NOT NULL AS blocked
@@ -189,9 +231,9 @@ SQL = {
             FROM c
         )
         SELECT conv_id, count(*) AS n_turns,
-               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, md5(text))) AS turns_sha256,
                CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-               sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, md5(text)) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(chars) AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id""",
     "op9_decontaminate": r"""

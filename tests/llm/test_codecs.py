@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tesseral.llm.chat_format import CONTROLS, MARKS, RANKS, assemble, encode_turns, escape, format_chat, parse, read_back, render, reserved, unescape
+from tesseral.llm.chat_format import CONTROLS, MARKS, RANKS, assemble, escape, format_chat, parse, read_back, render, reserved, tokenizer, unescape
 from tesseral.llm.sentencepiece_codec import LONG_WORD, MARK, MODEL, Model, decode, encode, load
 
 from .conftest import EDGES
@@ -45,15 +45,27 @@ def test_turns_read_back(role, text):
 def test_conversations(spark):
     rows = [(1, 1, "assistant", "b </turn>"), (1, 0, "user", "a"), (2, 0, None, None), (None, 0, "assistant", "x"), (1, 2, "assistant", ""), (1, None, "system", "s" * 50_000), (3, 0, "user", "t"), (3, 0, "user", "t")]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS ids", "2 AS n_chars")
-    got = {r.conv_id: r for r in read_back(encode_turns(table)).collect()}
+    got = {r.conv_id: r for r in read_back(format_chat(table)).collect()}
     digest = lambda *turns: hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
     assert got[1].turns_sha256 == digest(("system", "s" * 50_000), ("user", "a"), ("assistant", "b </turn>"), ("assistant", ""))
     assert (got[1].n_turns, got[1].loss_chars, got[1].loss_sha256) == (4, 9, hashlib.sha256(b"b </turn>").hexdigest())
     assert got[2].turns_sha256 == digest(("", "")) and got[2].loss_chars == 0 and got[None].loss_chars == 1 and got[3].n_turns == 2
-    assert read_back(encode_turns(table.limit(0))).count() == 0
+    assert read_back(format_chat(table.limit(0))).count() == 0
     formatted = format_chat(table).where("conv_id = 1").orderBy("turn").collect()
     starts = [r.token_start for r in formatted]
     assert starts == [0, *np.cumsum([len(r.ids) for r in formatted])[:-1].tolist()]
+    # the mask is of the conversation's sequence
+    whole = np.concatenate([r.ids for r in formatted])
+    learnt = [tokenizer(RANKS).decode_bytes(whole[r.loss_from : r.loss_to].tolist()).decode() for r in formatted if r.role == "assistant"]
+    assert learnt == [escape("b </turn>"), ""]
+    plan = read_back(format_chat(table))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(conv_id") == 1
+
+
+def test_a_conversation_with_a_gap_is_refused(spark):
+    table = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    with pytest.raises(Exception, match="a stretch for place"):
+        read_back(format_chat(table).where("turn = 1")).collect()
 
 
 def texts():

@@ -162,6 +162,16 @@ def test_near_links_chains_and_stars(spark):
     assert got == brute_components(sets_of(table), 85)
 
 
+def test_near_links_all_texts_of_a_repeated_doc_id(spark):
+    """Two texts of one doc_id, each with a near copy of its own: one component, named by its smallest doc_id."""
+    one, two = (" ".join(f"{c}{k}" for k in range(120)) for c in "pq")
+    table = [(5, one), (5, two), (9, one + " more"), (3, two + " more"), (8, " ".join(f"z{k}" for k in range(120))), (5, two), (-7, None), (8, None)]
+    rows = near_dedup(docs(spark, table)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in rows) == [
+        (-7, 0, -7, True), (3, 117, 3, True), (5, 116, 3, False), (5, 116, 3, False), (5, 116, 3, False), (8, 0, 8, True), (8, 116, 8, True), (9, 117, 3, False),
+    ]
+
+
 def test_near_on_edges(edges, nothing):
     rows = near_dedup(edges).collect()
     assert len(rows) == len(EDGES)

@@ -93,6 +93,16 @@ def test_licenses_survive_slips(spark):
     assert got[1].score == 1 and 0.8 <= got[3].score < 1 and got[5].score == 0 and got[1].base_labels == ""
 
 
+def test_licenses_do_not_count_rows(spark):
+    """A row has the same labels alone and repeated; words put in at many places are found by the votes that are left."""
+    notice = dict((label, text) for label, text in NOTICES)["bsd"].split()
+    put_in = [*notice[:4], "any", *notice[4:8], "all", *notice[8:12], *notice[13:17], "the", "very", *notice[17:]]
+    text = " ".join(["intro", *put_in, "outro"])
+    rows = license_scan(docs(spark, [(1, text), (2, text), (2, text), (2, text), (3, " ".join(notice[:3]))])).collect()
+    found = {(r.doc_id, r.labels, round(r.score, 9), r.n_words) for r in rows}
+    assert len(rows) == 5 and found == {(1, "bsd", round(1 - 1 / len(notice), 9), len(put_in) + 2), (2, "bsd", round(1 - 1 / len(notice), 9), len(put_in) + 2), (3, "", 0.0, 3)}
+
+
 def test_licenses_on_edges(edges, nothing):
     rows = license_scan(edges).collect()
     assert len(rows) == len(EDGES) and all(r.labels == "" and r.score == 0 and r.n_base == 0 for r in rows)
@@ -163,6 +173,16 @@ CAPTURES = [
 ]
 
 
+def test_addresses_have_no_parents(spark):
+    events = spark.createDataFrame([("l", "[2001:DB8::1]", "2024-01-01", True), ("l", "2.3.4", "2024-01-01", True), ("l", "1.2.3.4", "2024-01-01", True)], "list string, pattern string, day string, listed boolean")
+    urls = ["http://[2001:db8::1]/x", "http://u@[2001:DB8::1]:80?q", "http://1.2.3.4:8080/", "http://9.2.3.4/", "http://a.2.3.4/", "http://[bad/", "http://[::ffff:9.2.3.4]/"]
+    captures = spark.createDataFrame([(k, u, "2024-02-02") for k, u in enumerate(urls)], "page_id long, url string, fetched string")
+    got = {r.page_id: (r.host, r.blocked) for r in url_filter(captures, events).collect()}
+    assert got == {
+        0: ("[2001:db8::1]", True), 1: ("[2001:db8::1]", True), 2: ("1.2.3.4", True), 3: ("9.2.3.4", False), 4: ("a.2.3.4", True), 5: (None, False), 6: ("[::ffff:9.2.3.4]", False),
+    }
+
+
 def test_urls(spark):
     events = spark.createDataFrame(EVENTS, "list string, pattern string, day string, listed boolean")
     captures = spark.createDataFrame(CAPTURES, "page_id long, url string, fetched string").selectExpr("*", "'h' AS host", "1 AS month", "2 AS k")
