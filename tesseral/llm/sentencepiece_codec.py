@@ -8,7 +8,9 @@ stand side by side in no piece; parts that are long still take the same pass, th
 
 What is best depends on the model. For unigram models it is the sum of scores. For BPE models that sum is not what
 the library computes, so a step is weighed by whether BPE, given the two pieces side by side, would leave them so: exactly
-one path has only such steps, and it is the library's. The answer for a pair of pieces is remembered in a table of fixed size.
+one path has only such steps, and it is the library's. BPE merges in the order of scores, so what decides are the symbols that end
+the left piece and begin the right one while these are put together: two of them that are there at the same time and make a piece of
+a higher score than what either goes into next are merged across. Answers are remembered in a table of fixed size.
 
 Characters without a piece become byte pieces, or the unknown piece in models that have none.
 
@@ -78,6 +80,8 @@ class Model:
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.texts = [self._bytes(k, special) for k in range(len(pieces))]
+        if bpe:
+            self.learn_sides(plain)
         inner = any(MARK in pieces[k].lstrip(MARK) for k in plain)
         self.cut = re.compile("(?s:.+)" if inner else f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -107,8 +111,11 @@ class Model:
         out[where] = np.where(self.keys[at] == key, self.ids[at], NO_PIECE)
         return out
 
-    def merged(self, chars: np.ndarray) -> list[list[int]]:
-        """Where the pieces of each row of code points end by BPE: the best pair is merged, the leftmost of equals, until none is left."""
+    def merged(self, chars: np.ndarray, last: np.ndarray | None = None) -> list[list[int]]:
+        """Where the pieces of each row of code points end by BPE: the best pair is merged, the leftmost of equals, until none is left.
+
+        ``last`` gets where the two pieces of a row met that were merged last.
+        """
         n, length = chars.shape
         sums = self.hashes(chars)
         ends = np.tile(np.arange(length + 1), (n, 1))
@@ -124,6 +131,8 @@ class Model:
             alive, ends, score, best = alive[goes], ends[goes], score[goes], best[goes]
             if not len(alive):
                 break
+            if last is not None and ends.shape[1] == 3:
+                last[alive] = ends[:, 1]
             left = np.ones(ends.shape, bool)
             left[np.arange(len(alive)), best + 1] = False
             ends = ends[left].reshape(len(alive), -1)
@@ -151,16 +160,88 @@ class Model:
 
     def _together(self, key: np.ndarray) -> np.ndarray:
         each, back = np.unique(key, return_inverse=True)
-        fits = np.zeros(len(each), bool)
+        a, b = each // len(self.pieces), each % len(self.pieces)
+        fits, direct = np.zeros(len(each), bool), self.direct[a] & self.direct[b]
+        fits[direct] = self.apart(a[direct], b[direct])
+        fits[~direct] = self.apart_by_merging(a[~direct], b[~direct])
+        return fits[back]
+
+    def apart_by_merging(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether BPE leaves two pieces side by side, by doing it."""
+        fits = np.zeros(len(left), bool)
         by_length: dict[int, list[tuple[int, str, int]]] = defaultdict(list)
-        for at, k in enumerate(each.tolist()):
-            a, b = self.pieces[k // len(self.pieces)], self.pieces[k % len(self.pieces)]
-            by_length[len(a) + len(b)].append((at, a + b, len(a)))
+        for at, (a, b) in enumerate(zip(left.tolist(), right.tolist())):
+            text = self.pieces[a] + self.pieces[b]
+            by_length[len(text)].append((at, text, len(self.pieces[a])))
         for group in by_length.values():
             ends = self.merged(np.array([[ord(c) for c in text] for _, text, _ in group], np.uint64))
             for (at, text, n), e in zip(group, ends):
                 fits[at] = e == [n, len(text)]
-        return fits[back]
+        return fits
+
+    def learn_sides(self, plain: list[int]) -> None:
+        """How BPE makes each piece: the symbols that are its last and its first one meanwhile, from a character up to the piece,
+        each with its length, its hash and the score of what it goes into. ``direct``: whether its scores fall from parts to pieces
+        and no other piece has its score, which ``apart`` builds on; runs of word marks are the exception."""
+        splits, whole = np.zeros(len(self.pieces), np.int32), np.zeros(len(self.pieces), bool)
+        by_length: dict[int, list[int]] = defaultdict(list)
+        for k in plain:
+            by_length[len(self.pieces[k])].append(k)
+        for length, group in by_length.items():
+            last = np.zeros(len(group), np.int32)
+            ends = self.merged(np.array([[ord(c) for c in self.pieces[k]] for k in group], np.uint64), last)
+            splits[group], whole[group] = last, [len(e) == 1 for e in ends]
+        self.whole, number = whole, {self.pieces[k]: k for k in plain}
+        _, which, often = np.unique(self.score[plain], return_inverse=True, return_counts=True)
+        self.direct = np.ones(len(self.pieces), bool)
+        self.direct[plain] = often[which] == 1
+        sides: tuple[list, ...] = ([], [])
+        for k in range(len(self.pieces)):
+            for side, found in enumerate(sides):
+                text, score, own = self.pieces[k], -np.inf, []
+                while whole[k]:
+                    own.append((len(text), score, text))
+                    if len(text) == 1:
+                        break
+                    at, score = int(splits[number[text]]), float(self.score[number[text]])
+                    text = text[:at] if side else text[at:]
+                    other = number.get(text)
+                    if len(text) > 1 and (other is None or not whole[other] or self.score[other] <= score):
+                        self.direct[k] = False
+                        break
+                found.append(own[::-1])
+        self.sides = []
+        for found in sides:
+            flat = [x for own in found for x in own]
+            starts = np.concatenate([[0], np.cumsum([len(own) for own in found])]).astype(np.int32)
+            hashes = np.zeros(len(flat), np.uint64)
+            for length in {n for n, _, _ in flat}:
+                at = [j for j, (n, _, _) in enumerate(flat) if n == length]
+                hashes[at] = self.hashes(np.array([[ord(c) for c in flat[j][2]] for j in at], np.uint64))[:, -1]
+            self.sides.append((starts, np.array([n for n, _, _ in flat], np.int32), np.array([x for _, x, _ in flat], np.float64), hashes))
+
+    def apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether BPE leaves two pieces side by side: no symbol that ends the left one is merged with one that begins the right one."""
+        (a_start, a_size, a_next, a_hash), (b_start, b_size, b_next, b_hash) = self.sides
+        fits = self.whole[left] & self.whole[right]
+        at = np.flatnonzero(fits)
+        i, j = a_start[left[at]].copy(), b_start[right[at]].copy()
+        while len(at):
+            size = a_size[i] + b_size[j]
+            key = a_hash[i] * self.power[b_size[j]] + b_hash[j]
+            score = np.full(len(at), -np.inf)
+            some = np.flatnonzero((size <= self.longest) & self.gate[(key >> np.uint64(44)).astype(np.int64)])
+            spot = np.minimum(np.searchsorted(self.keys, key[some]), len(self.keys) - 1)
+            met = self.keys[spot] == key[some]
+            score[some[met]] = self.score[self.ids[spot[met]]]
+            # of equal scores the leftmost pair comes first: what ends the left piece, then this pair, then what begins the right one
+            x, y = a_next[i], b_next[j]
+            across = (score > x) & (score >= y)
+            fits[at[across]] = False
+            on = ~across & ((x > -np.inf) | (y > -np.inf))
+            step = x >= y
+            at, i, j = at[on], (i + step)[on], (j + ~step)[on]
+        return fits
 
     def viterbi(self, words: list[str]) -> list[bytes]:
         """The ids, as bytes, of words of one length, or of like lengths: the shorter ones go on through PAD."""

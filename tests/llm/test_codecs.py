@@ -99,6 +99,19 @@ def test_long_words_take_the_same_pass():
         assert model.encode([t])[0].tolist() == library.encode(t)
 
 
+def test_neighbours_by_their_borders_are_neighbours_by_merging():
+    """Pairs of pieces at random, and pairs that are the two parts of a piece, which BPE mostly merges."""
+    model = load(MODEL)
+    rng = np.random.default_rng(5)
+    some = np.flatnonzero(model.whole & model.direct)
+    number = {model.pieces[k]: k for k in some.tolist()}
+    parts = [(number[p[:i]], number[p[i:]]) for p in list(number)[::9] for i in range(1, len(p)) if p[:i] in number and p[i:] in number]
+    a, b = np.concatenate([rng.choice(some, (4000, 2)), np.array(parts)]).T
+    fits = model.apart(a, b)
+    assert (fits == model.apart_by_merging(a, b)).all() and fits[:4000].mean() > 0.9 and not fits[4000:].any()
+    assert (~model.direct).sum() < 30
+
+
 def test_results_take_the_place_of_columns_with_their_names(spark):
     table = spark.createDataFrame([(1, "some text", 5, "x")], "doc_id long, text string, ids int, decoded string")
     out = encode(table, decoded="decoded")
