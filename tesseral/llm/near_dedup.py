@@ -51,7 +51,7 @@ SALT = 512
 DEVIATIONS = 6
 MOST_PIVOTS = 256
 #: Members of a home that are held against each other, all of them.
-HOME = 1 << 13
+HOME = 1 << 15
 #: Members, and shingles of them, that are held against another such block at once; shingles of a product of matrices.
 BLOCK, BLOCK_SHINGLES, COLUMNS = 512, 400_000, 4096
 #: Bytes of text and number of texts that a task hashes together.
