@@ -4,8 +4,9 @@ Each permutation of a document's shingle hashes gives two signature values, its
 permutations do. Bands of the signature, together with the size class of the set (linked sets differ in size by the
 asked similarity at most, so they share a class or lie in neighbours), are the buckets in which links are looked for.
 
-Equal sets are one representative first. Then each bucket is searched by pivots instead of by pairs: its most central
-member is held against all others, and what it links is one component. The pivot that a member met most often is its home;
+Equal sets are one representative first, and of buckets with the same members only one is kept. Then each bucket is searched by
+pivots instead of by pairs: its most central member is held against all others, and what it links is one component. The pivot
+that a member met most often is its home;
 in homes with members of several components, blocks of members are held against each other by products of matrices of
 shingles. Buckets in which members of different components and homes are left are searched again with more pivots, each
 pivot leaving its bucket when it has been held against all, until no bucket is open. So every pair that shares a bucket is
@@ -270,7 +271,9 @@ def named_components(sketches: DataFrame, rows: DataFrame, percent: int, gram: i
     sigs = reps.select("rep", "n", "sig")
 
     spread = reps.select("rep", F.explode("buckets").alias("bucket"))
-    sizes = cut(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    # of buckets with the same members, which two hashes of 64 bits over them tell, one is searched
+    each = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), *[F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"members{k}") for k in range(2)]).where("size > 1")
+    sizes = cut(each.groupBy("size", "members0", "members1").agg(F.min("bucket").alias("bucket")).select("bucket", "size"))
     met = join_groups(cut(maybe_in(spread, F.col("bucket"), sizes, F.col("bucket"))), sizes, ["bucket"])
     met = cut(met.distinct())
     open_rows = cut(met.join(met.groupBy("rep").agg(F.sum("size").alias("weight")), "rep").select("bucket", "rep", "weight", F.col("rep").alias("label"), F.col("rep").alias("home")))
