@@ -18,8 +18,8 @@ Homes of more than HOME members are not held together; their members stay in the
 
 What is lost. With ROWS rows in BANDS bands a pair of similarity 0.85 shares no bucket with probability (1 - 0.85^5)^24 < 1e-6
 (of similarity 0.80: 7e-5). Of candidates, those are dropped before the test whose signatures agree in DEVIATIONS standard
-deviations less of their places than expected of a linked pair, which a linked pair does with probability under 1e-8 (six
-deviations of a binomial). Tests are on 64-bit hashes of shingles, words are not compared again: sets of 1000 shingles that
+deviations less of their places than expected of a linked pair, which a linked pair does with probability under 1e-7 (the tail of
+a binomial of 120 places: 5e-8 at 0.85). Tests are on 64-bit hashes of shingles, words are not compared again: sets of 1000 shingles that
 share none would have one in common by chance with probability 1e-13.
 
 The work of a bucket of which no members are linked grows with the square of its members, since each pair has to be refused;
