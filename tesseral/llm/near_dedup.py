@@ -290,16 +290,22 @@ def named_components(sketches: DataFrame, rows: DataFrame, percent: int, gram: i
 
 
 def search(open_rows: DataFrame, sigs: DataFrame, texts: DataFrame, percent: int, gram: int) -> DataFrame | None:
-    """Links (a, b) that connect what is linked among the members of open buckets; none if no bucket is open."""
+    """Links (a, b) that connect what is linked among the members of buckets; none if no bucket has two members."""
     pivots, homes = 1, None
     found: DataFrame | None = None
-    while not open_rows.isEmpty():
-        best = F.struct("weight", (-F.col("rep")).alias("minus"), "label", "home")
+    while True:
+        # buckets in which members of different components and homes are left
+        span = [f(c).alias(f"{f.__name__}_{c}") for c in ("label", "home") for f in (F.min, F.max)]
+        still = open_rows.groupBy("bucket").agg(*span, F.max(F.struct("weight", (-F.col("rep")).alias("minus"), "label", "home")).alias("first")).where("min_label <> max_label and min_home <> max_home")
+        still = cut(still.select("bucket", "first"), slim=True)
+        if still.isEmpty():
+            return found
         if pivots == 1:
-            chosen = open_rows.groupBy("bucket").agg(F.array(F.max(best)).alias("best"))
+            chosen = still.select("bucket", F.array("first").alias("best"))
         else:
             place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("weight"), "rep"))
-            chosen = open_rows.withColumn("place", place).where(F.col("place") <= pivots).groupBy("bucket").agg(F.collect_list(best).alias("best"))
+            best = open_rows.withColumn("place", place).where(F.col("place") <= pivots).groupBy("bucket").agg(F.collect_list(F.struct("weight", (-F.col("rep")).alias("minus"), "label", "home")).alias("best"))
+            chosen = best.join(still.select("bucket"), "bucket", "left_semi")
         tried = cut(join_groups(open_rows, cut(chosen, slim=True), ["bucket"]).withColumn("own", F.exists("best", lambda p: -p["minus"] == F.col("rep"))))
         # once there are homes, members that share one have been held against each other
         asked = lambda p: (p["label"] != F.col("label")) & (~F.col("own") | (-p["minus"] < F.col("rep"))) & (F.lit(homes is None) | (p["home"] != F.col("home")))
@@ -318,8 +324,5 @@ def search(open_rows: DataFrame, sigs: DataFrame, texts: DataFrame, percent: int
             labels = components(found)
             tried = tried.drop("home").join(homes.select("rep", "home"), "rep")
         rest = tried.where("not own").select("bucket", "rep", "weight", "home")
-        named = cut(rest.join(labels, rest["rep"] == labels["node"], "left").select("bucket", "rep", "weight", "home", F.coalesce("component", "rep").alias("label")), slim=True)
-        still = cut(named.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.min("home").alias("h"), F.max("home").alias("i")).where("l <> m and h <> i").select("bucket"), slim=True)
-        open_rows = cut(join_groups(named, still, ["bucket"]), slim=True)
+        open_rows = cut(rest.join(labels, rest["rep"] == labels["node"], "left").select("bucket", "rep", "weight", "home", F.coalesce("component", "rep").alias("label")), slim=True)
         pivots = min(MOST_PIVOTS, 16 * pivots)
-    return found
