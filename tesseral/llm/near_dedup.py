@@ -8,13 +8,16 @@ Equal sets are one representative first, and of buckets with the same members on
 pivots instead of by pairs: its most central member is held against all others, and what it links is one component. The pivot
 that a member met most often is its home;
 in homes with members of several components, blocks of members are held against each other by products of matrices of
-shingles. Buckets in which members of different components and homes are left are searched again with more pivots, each
+shingles. Homes that meet in a bucket of more than CROWD members which its pivot left open are one home, so that a large group of
+near copies, few of them linked, does not become rows of its pairs. Buckets in which members of different components and homes
+are left are searched again with more pivots, each
 pivot leaving its bucket when it has been held against all, until no bucket is open. So every pair that shares a bucket is
 tested or connected already, and tests are exact: both texts' full shingle sets. Pairs that fail are never rows, except
 against pivots. Joins on hot buckets are joins of plain tables, which Spark splits; the members of a hot pivot are salted,
 and its text meets SALT of them at a time.
 
 Homes of more than HOME members are not held together; their members stay in the search by buckets, which is exact without homes.
+Homes that would have more than that together, or more shingles than its blocks, stay apart.
 
 What is lost. With ROWS rows in BANDS bands a pair of similarity 0.85 shares no bucket with probability (1 - 0.85^5)^24 < 1e-6
 (of similarity 0.80: 7e-5). Of candidates, those are dropped before the test whose signatures agree in DEVIATIONS standard
@@ -53,6 +56,8 @@ DEVIATIONS = 6
 MOST_PIVOTS = 256
 #: Members of a home that are held against each other, all of them.
 HOME = 1 << 15
+#: Members of a bucket above which the homes that meet in it are held together.
+CROWD = 16
 #: Members, and shingles of them, that are held against another such block at once; shingles of a product of matrices.
 BLOCK, BLOCK_SHINGLES, COLUMNS = 512, 400_000, 4096
 #: Bytes of text and number of texts that a task hashes together.
@@ -242,6 +247,21 @@ def in_homes(homes: DataFrame, sigs: DataFrame, texts: DataFrame, percent: int,
     return full.select(*keys, "rep", "label", "text").repartition("home", "i", "j").sortWithinPartitions("home", "i", "j").mapInArrow(tidy(run), "a long, b long")
 
 
+def gathered(rows: DataFrame, homes: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The homes of members (rep, home, label), those that meet in crowded open buckets (bucket, rep) joined up to the size of HOME."""
+    placed = cut(rows.select("bucket", "rep").join(homes, "rep"), slim=True)
+    span = [f(c).alias(f"{f.__name__}_{c}") for c in ("label", "home") for f in (F.min, F.max)]
+    crowds = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), *span).where((F.col("size") > CROWD) & F.expr("min_label <> max_label and min_home <> max_home"))
+    meet = cut(join_groups(placed, cut(crowds.select("bucket", "min_home"), slim=True), ["bucket"]).where("home <> min_home").select(F.col("home").alias("a"), F.col("min_home").alias("b")).distinct(), slim=True)
+    if meet.isEmpty():
+        return homes
+    wide = components(meet)
+    wide = cut(homes.join(wide, homes["home"] == wide["node"], "left").select("rep", "home", "label", F.coalesce("component", "home").alias("wide")), slim=True)
+    sized = wide.join(sigs.select("rep", "n"), "rep").groupBy("wide").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n"))
+    fits = cut(sized.select("wide", ((F.col("size") <= HOME) & (F.col("n") <= HOME // BLOCK * BLOCK_SHINGLES)).alias("fits")), slim=True)
+    return cut(join_groups(wide, fits, ["wide"]).select("rep", F.when(F.col("fits"), F.col("wide")).otherwise(F.col("home")).alias("home"), "label"), slim=True)
+
+
 def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = 85, gram: int = GRAM) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs``; of each component the smallest doc_id stays.
 
@@ -317,9 +337,10 @@ def search(open_rows: DataFrame, sigs: DataFrame, texts: DataFrame, percent: int
         if homes is None:
             count = tried.select("rep", F.col("best")[0]["minus"].alias("minus")).groupBy("rep", "minus").agg(F.count(F.lit(1)).alias("n"))
             nearest = cut(count.groupBy("rep").agg((-F.max(F.struct("n", "minus"))["minus"]).alias("home")), slim=True)
-            size = cut(nearest.groupBy("home").agg(F.count(F.lit(1)).alias("size")), slim=True)
-            nearest = join_groups(nearest, size, ["home"]).select("rep", F.when(F.col("size") > HOME, F.col("rep")).otherwise(F.col("home")).alias("home"))
             homes = cut(nearest.join(labels, nearest["rep"] == labels["node"], "left").select("rep", "home", F.coalesce("component", "rep").alias("label")), slim=True)
+            homes = gathered(tried, homes, sigs)
+            size = cut(homes.groupBy("home").agg(F.count(F.lit(1)).alias("size")), slim=True)
+            homes = cut(join_groups(homes, size, ["home"]).select("rep", F.when(F.col("size") > HOME, F.col("rep")).otherwise(F.col("home")).alias("home"), "label"), slim=True)
             found = cut(found.unionByName(in_homes(homes, sigs, texts, percent, gram)), slim=True)
             labels = components(found)
             tried = tried.drop("home").join(homes.select("rep", "home"), "rep")

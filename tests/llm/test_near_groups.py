@@ -48,3 +48,20 @@ def test_block_links_join_what_is_linked():
     linked = {(a, b) for a in ids for b in ids if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
     assert set(found) == linked
     assert block_links(["a b", "c d"], [1, 2], [1, 2], 85, 5) == []
+
+
+def test_few_pairs_of_a_large_group_are_rows(spark, monkeypatch):
+    """Copies of which few are linked: what is asked of signatures grows with the members, not with their square."""
+    random.seed(5)
+    words = [f"w{k}" for k in range(150)]
+    table = []
+    for k in range(600):
+        mine = list(words)
+        for place in random.sample(range(150), random.randint(4, 9)):
+            mine[place] = f"r{k}.{place}"
+        table.append((k, " ".join(mine)))
+    asked = []
+    own = module.likely
+    monkeypatch.setattr(module, "likely", lambda pairs, *a: asked.append(pairs.count()) or own(pairs, *a))
+    assert {r.doc_id: r.component_id for r in near_dedup(docs(spark, table)).collect()} == brute_components(sets_of(table), 85)
+    assert sum(asked) < 25 * len(table), asked
