@@ -68,7 +68,8 @@ def _windows(x: Column, min_lines: int) -> Column:
 def _again(places: DataFrame, each: DataFrame) -> DataFrame:
     """The rows of ``places`` (doc_id, text_h, pos, n, hash; written) whose text is at an earlier place; ``each`` has the bodies by hash."""
     repeated = cut(places.groupBy("hash").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), slim=True)
-    met = cut(join_groups(places, repeated, ["hash"]).drop("size"))
+    # as at the end, only places that may be repeated are shuffled, at any size
+    met = cut(join_groups(maybe_in(places, F.xxhash64("hash"), repeated, F.xxhash64("hash")), repeated, ["hash"]).drop("size"))
 
     # equal bodies of a task meet in the partial aggregation before anything is shuffled; what a hash has left are its texts
     likely = maybe_in(each.select("hash", "body"), F.xxhash64("hash"), repeated, F.xxhash64("hash"))
@@ -96,7 +97,9 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_
         windows = spans(lambda x: _windows(x, min_lines))
         # the windows of a chunk that goes are at an earlier place too, none of them is a first one
         inside = F.col("p.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("p.text_h") == F.col("g.text_h")) & (F.col("p.chunk") == F.col("g.pos"))
-        rest = cut(windows.drop("body").alias("p").join(gone.alias("g"), inside, "left_anti").drop("chunk"))
+        with temporary(docs.sparkSession):
+            maybe, sure = parted(cut(windows.drop("body")), F.xxhash64("doc_id", "text_h", "chunk"), gone, F.xxhash64("doc_id", "text_h", "pos"))
+            rest = cut(maybe.alias("p").join(gone.alias("g"), inside, "left_anti").unionByName(sure).drop("chunk"), keep=True)
         lost = gone.unionByName(_again(rest, windows)).select("doc_id", "text_h", F.explode(F.sequence("pos", F.col("pos") + F.col("n") - 1)).alias("line"))
         drops = cut(lost.groupBy("doc_id", "text_h").agg(F.collect_set("line").alias("drops")), keep=True)
 

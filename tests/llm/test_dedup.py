@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tesseral.llm.common import cut, maybe_in
 from tesseral.llm.components import components
 from tesseral.llm.exact_dedup import exact_dedup, possibly_repeated
+from tesseral.llm import line_dedup as line_module
 from tesseral.llm.line_dedup import line_dedup
 from tesseral.llm.near_dedup import near_dedup
 from tesseral.llm.suffix_dedup import SPAN, LoserTree, anchors, front_decoded, pack, range_bits, suffix_dedup, unpack
@@ -37,6 +38,17 @@ def test_exact_with_a_filter_too_large_to_broadcast(spark, corpus):
     assert key(exact_dedup(table, max_words=0)) == key(exact_dedup(table))
 
 
+def test_lines_shuffle_only_places_that_may_be_repeated(spark, monkeypatch):
+    """One document in twenty repeats another's lines: few places go into the joins, however many there are."""
+    texts = [(k, "\n".join(f"line {j} of {k - k % 20 if k % 20 == 1 else k}" for j in range(12))) for k in range(1000)]
+    sent = []
+    own = line_module.join_groups
+    monkeypatch.setattr(line_module, "join_groups", lambda rows, groups, keys: sent.append(rows.count()) or own(rows, groups, keys))
+    out = {r.doc_id: r.text for r in line_dedup(docs(spark, texts)).collect()}
+    assert out == {k: "" if k % 20 == 1 else t for k, t in texts}
+    assert sum(sent) < 0.4 * 1000 * 11, sent
+
+
 @pytest.mark.parametrize("n", [3_000, 300_000])
 def test_exact_shuffles_the_same_share_at_any_size(spark, n):
     """One row in ten has an equal; the filter lets through these and few others, however many rows there are."""
