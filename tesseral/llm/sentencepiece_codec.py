@@ -290,11 +290,16 @@ class Model:
         there = made != START
         ids, ends = made[there].astype(np.int32), np.cumsum(there.sum(axis=1))
         bounds = [0, *ends.tolist()]
-        if (ids >= 0).all():
-            data = ids.tobytes()
-            return [data[4 * a : 4 * b] for a, b in zip(bounds, bounds[1:])]
-        spell = lambda part: [x for k in part for x in ([k] if k >= 0 else self.spelt(UNREACHED - k))]
-        return [np.array(spell(ids[a:b].tolist()), np.int32).tobytes() for a, b in zip(bounds, bounds[1:])]
+        data = ids.tobytes()
+        out = [data[4 * a : 4 * b] for a, b in zip(bounds, bounds[1:])]
+        # only words that have such characters are spelt, whatever words share their batch
+        for k in np.unique(np.searchsorted(ends, np.flatnonzero(ids < 0), side="right")).tolist():
+            out[k] = self.spelling(ids[bounds[k] : bounds[k + 1]].tolist())
+        return out
+
+    def spelling(self, ids: list[int]) -> bytes:
+        """The ids of a word, as bytes, its characters without a piece spelt."""
+        return np.array([x for k in ids for x in ([k] if k >= 0 else self.spelt(UNREACHED - k))], np.int32).tobytes()
 
     def parts(self, word: str) -> list[str]:
         """A word, cut where two characters stand side by side in no piece if it is long."""

@@ -162,3 +162,19 @@ def test_unigram_viterbi_is_the_best_of_all_segmentations(text, scores):
     got = sum(model.worst if k == 0 else model.score[k] for k in ids.tolist())
     assert got == pytest.approx(sum(best(w) for w in model.cut.findall(whole)))
     assert "".join(whole) == "".join(_pieces[k] if k else "d" for k in ids.tolist()) if "d" in whole or 0 not in ids else True
+
+
+def test_only_words_without_pieces_are_spelt(monkeypatch):
+    """A character without a piece costs its own word, not those of the same length beside it."""
+    model = load(MODEL)
+    plain = [f"w{k:03d}" for k in range(500)]
+    model.forget()
+    alone = [x.tolist() for x in model.encode(plain)]
+    model.forget()
+    spelt = []
+    own = type(model).spelling
+    monkeypatch.setattr(type(model), "spelling", lambda self, ids: spelt.append(ids) or own(self, ids))
+    beside = [x.tolist() for x in model.encode([*plain, "w\U0001f9ff01"])]
+    model.forget()
+    assert beside[:-1] == alone and model.decode(np.array(beside[-1])) == "w\U0001f9ff01"
+    assert len(spelt) == 1
